@@ -52,8 +52,8 @@ def encoded(docs: DataFrame, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
         part, held, end = TaskContext.get().partitionId(), {}, END.to_bytes(width, "little")
         for b in texts.small(batches, "text"):
             ids, starts, queues = [], [], b.column("queue").to_pylist()
-            for q, text in zip(queues, texts.raw(b.column("text")), strict=True):
-                ids.append(b"".join([x for piece in encode(text) for x in piece]) + end)
+            for q, found in zip(queues, tokens.walk(encode, list(texts.raw(b.column("text")))), strict=True):
+                ids.append(b"".join(found) + end)
                 starts.append(held.get(q, 0))
                 held[q] = starts[-1] + len(ids[-1]) // width
             yield pa.RecordBatch.from_arrays(
