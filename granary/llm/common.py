@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -50,6 +51,11 @@ class Scratch:
         df.write.option("compression", "zstd").mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Lets go of the shuffle files of steps whose results are written: Spark deletes them with the objects that own them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jsc = self.spark.sparkContext._jsc
         if jsc is None or self.spark.sparkContext._jvm is None:

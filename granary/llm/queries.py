@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality, simhash, tokens
+from . import decontam, packing, quality, simhash, substring, suffix, tokens
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixture_packing": op3_mixture_packing,
         "op4_token_counts": op4_token_counts,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_decontamination": op9_decontamination,
     }
 
