@@ -61,7 +61,7 @@ def check(spark, texts):
 PIECES = ["a", "@", ".", "b1", "-", "_", "%", " ", "+1", "(555)", "123", "4111111111111111", "4111 1111-1111 1111", "1.2.3.4", "256.1.1.1", "\n", "é", "𝄞", "00", "x@y.zz", "++49 30 123456", "5500000000000004"]
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=30, max_size=60))
 def test_base_spans_of_random_texts(spark, texts):
     check(spark, texts)
@@ -74,9 +74,12 @@ def test_driver_documents(spark):
 
 def test_edges(spark):
     many = " ".join(f"u{i}@mail.example.com" for i in range(3000))
-    texts = [None, "", "a" * 300_000, "1" * 300_000, "1." * 100_000, "a@b.c_d@e.f", "+" * 5000, "+1" + " " * 100_000 + "2", many, "-" * 50_000 + "x@y.z", "a.b@" * 2000, "𝄞 +1 (663) 555-6869 𝄞 x@y.org"]
+    texts = [None, "", "a" * 4000, "1" * 4000, "1." * 4000, "a@b.c_d@e.f", "+" * 5000, "+1" + " " * 100_000 + "2", many, "-" * 4000 + "x@y.z", "a.b@" * 2000, "𝄞 +1 (663) 555-6869 𝄞 x@y.org"]
     check(spark, texts)
     assert pii.digests(frame(spark, []).limit(0)).count() == 0
+    # texts on which the plain patterns take quadratic time
+    long = pii.digests(frame(spark, ["a" * 500_000, "1" * 500_000, "-" * 500_000 + "x@y.z", "1.2.3.4 " * 30_000])).collect()
+    assert sorted((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"]) for r in long) == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0), (4, 0, 30_000, 0)]
 
 
 def test_repeats_and_clashing_columns(spark):
