@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,3 +192,28 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = keyed.groupBy("key").agg(F.min("first").alias("component_id"))
     of_fp = keyed.select("fp", "key").join(least, "key").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of linked rows of ``docs``, the one with the least doc_id (null last); columns stay.
+
+    Rows are told apart by a number of their own, so a repeated id loses no other text.
+    """
+    scratch = Scratch(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for b in texts.small(batches, "__text"):
+            fps = np.fromiter(map(fingerprint, texts.raw(b.column("__text"))), np.uint64, b.num_rows)
+            own = [k for k in b.schema.names if k != "__text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), pa.array(fps.view(np.int64)), pa.array(np.arange(row, row + b.num_rows))], [*own, "__fp", "__row"])
+            row += b.num_rows
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
+    rows = scratch.save(docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, f"{fields}, __fp long, __row long"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row"))
+    unique = scratch.save(rows.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first")), "unique")
+    labels = connected_components(links(unique, radius), scratch)
+    keyed = unique.join(labels, unique["fp"] == labels["node"], "left").select("first", F.coalesce("label", "fp").alias("key"))
+    kept = keyed.groupBy("key").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
