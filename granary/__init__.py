@@ -1 +1,10 @@
-"""Granary: an analytics engine on PySpark with a compact SQL dialect of its own."""
+"""A small SQL engine on Spark: its own dialect, native plans."""
+
+from .errors import AlreadyExists, BindError, ConstraintViolation, EngineError, NotFound, ParseError, TransactionError
+from .session import Connection, Database, Prepared, Result, connect
+
+__version__ = "0.1.0"
+__all__ = [
+    "AlreadyExists", "BindError", "Connection", "ConstraintViolation", "Database", "EngineError", "NotFound", "ParseError",
+    "Prepared", "Result", "TransactionError", "connect",
+]
