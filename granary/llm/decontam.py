@@ -191,7 +191,7 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Contaminated rows of ``docs`` go; from the others the hit words go. The columns stay, n_chars follows the text."""
+    """Contaminated rows of ``docs`` go; from the others the hit words go. The columns stay; n_chars follows a text that changed."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = hits(docs, benchmark, others).where(F.size("__items") < MIN_ITEMS)
 
@@ -201,11 +201,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if any(ranges):
                 new = [None if not c.is_valid else c.as_py() if not r else without(c.as_py().encode(), [(x["a"], x["b"]) for x in r]).decode() for r, c in zip(ranges, column, strict=True)]
                 column = pa.array(new, column.type)
-            yield pa.RecordBatch.from_arrays([column if k == "__text" else b.column(k) for k in b.schema.names if k != "__ranges"], [k for k in b.schema.names if k != "__ranges"])
+            own = [k for k in b.schema.names if k != "__ranges"]
+            yield pa.RecordBatch.from_arrays([*(column if k == "__text" else b.column(k) for k in own), pa.array(map(bool, ranges), pa.bool_())], [*own, "__cut"])
 
     kept = found.select("doc_id", *others, "__text", "__ranges")
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields if x.name != "__ranges")
-    out = kept.mapInArrow(cut, fields).withColumnRenamed("__text", "text")
+    out = kept.mapInArrow(cut, f"{fields}, __cut boolean").withColumnRenamed("__text", "text")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

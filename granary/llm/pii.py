@@ -16,7 +16,7 @@ by characters of equal number, so they never overlap.
 Defined results: a null text is empty and has no spans; rows are judged one by one, so
 repeated rows get equal spans; an empty table gives an empty result and a classifier
 that accepts nothing; ``redacted`` passes other columns through and ``n_chars`` follows
-the text.
+a text that changed.
 """
 
 from __future__ import annotations
@@ -326,8 +326,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     new = let(mask, cut)
     for k, c in _MASKS.items():
         new = F.regexp_replace(new, f"{c}+", f"[{k.upper()}]")
-    columns = {"text": F.when(F.col("text").isNotNull(), new)}
-    out = docs.withColumns(columns)
+    out = docs.withColumn("__new", F.when(F.col("text").isNotNull(), new))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        same = F.col("__new").eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("__new").cast(docs.schema["n_chars"].dataType)))
+    out = out.withColumn("text", F.col("__new"))
     return out.select(*docs.columns)
