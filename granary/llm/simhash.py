@@ -37,8 +37,9 @@ SEED = 42
 #: Fingerprints in a shard, about; a shard is one group of one task.
 SHARD = 20_000
 #: Sampled fingerprints per shard for fitting the upper tree, and the most in all.
-FIT, MOST_FIT = 64, 1 << 16
-BLOCK = 192
+FIT, MOST_FIT = 64, 1 << 17
+#: Fingerprints that are compared in all pairs, and the most that one side of a split may keep.
+BLOCK, SIDE = 192, 0.75
 
 
 def _add_bits(h: np.ndarray, ones: np.ndarray) -> None:
@@ -84,24 +85,24 @@ def _split(x: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[int, i
         counts = np.cumsum(np.bincount(np.bitwise_count(x ^ v), minlength=65 + radius))
         for mu in range(64):
             inner, outer = counts[min(mu + radius, 64)], counts[64] - counts[mu]
-            cost = inner * np.log2(inner + 1) + outer * np.log2(outer + 1)
-            if max(inner, outer) < 0.9 * len(x) and (best is None or cost < best[0]):
+            cost = (max(inner, outer) > SIDE * len(x), inner * np.log2(inner + 1) + outer * np.log2(outer + 1))
+            if max(inner, outer) < 0.95 * len(x) and (best is None or cost < best[0]):
                 best = (cost, int(v), mu)
     return best and best[1:]
 
 
-def fit(sample: np.ndarray, depth: int, radius: int = RADIUS) -> list:
-    """Nested [vantage, mu, inside, outside]; a leaf is [shard number]."""
+def fit(sample: np.ndarray, leaf: int, radius: int = RADIUS) -> tuple[list, int]:
+    """Nested [vantage, mu, inside, outside] down to ``leaf`` sampled fingerprints, where [shard number]; number of shards."""
     rng, leaves = np.random.default_rng(0), iter(range(1 << 30))
 
     def grow(x: np.ndarray, depth: int) -> list:
-        cut = _split(x, radius, rng) if depth and len(x) >= 16 else None
+        cut = _split(x, radius, rng) if depth and len(x) > leaf else None
         if cut is None:
             return [next(leaves)]
         d = np.bitwise_count(x ^ np.uint64(cut[0]))
         return [*cut, grow(x[d <= cut[1] + radius], depth - 1), grow(x[d > cut[1]], depth - 1)]
 
-    return grow(sample, depth)
+    return grow(sample, 64), next(leaves)
 
 
 def _route(tree: list, x: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -161,12 +162,11 @@ def shard_links(x: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 def links(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all within ``radius``."""
     n = unique.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
-    tree: list = [0]
-    if depth:
-        most = min(MOST_FIT, FIT << depth)
+    tree, shards = [0], 1
+    if n > shard:
+        most = min(MOST_FIT, FIT * -(-n // shard))
         sample = unique.orderBy(F.xxhash64("fp"), "fp").limit(most).toPandas()["fp"].to_numpy(np.int64)
-        tree = fit(sample.view(np.uint64), depth, radius)
+        tree, shards = fit(sample.view(np.uint64), max(16, len(sample) * shard // n), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +179,8 @@ def links(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
         return pd.DataFrame(found.view(np.int64), columns=["a", "b"])
 
     routed = unique.select("fp").mapInArrow(route, "shard int, fp long")
-    return routed.groupBy("shard").applyInPandas(join, "a long, b long")
+    spread = routed.repartition(2 * shards, "shard") if shards > 1 else routed  # small shards are long work: their tasks must not be merged
+    return spread.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
