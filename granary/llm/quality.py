@@ -117,8 +117,8 @@ def metrics(text: Column, lang: Column | None = None) -> Column:
             share(c["n_symbols"], c["n_words"]).alias("symbol_ratio"),
             (F.lit(None) if lang is None else F.when(lang.isin(*STOP_WORDS), share(c["n_stop_words"], c["n_words"]))).cast("double").alias("stop_ratio"),
             share(dup, n_lines).alias("dup_line_ratio"),
-            share(F.size(F.filter(x, lambda y: y.rlike(r"^\s*[-*•]\s"))), n_lines).alias("bullet_line_ratio"),
-            share(F.size(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)\s*$"))), n_lines).alias("ellipsis_line_ratio"),
+            share(F.size(F.filter(x, lambda y: y.rlike(rf"^{SPACE}*[-*•]{SPACE}"))), n_lines).alias("bullet_line_ratio"),
+            share(F.size(F.filter(x, lambda y: y.rlike(rf"(\.\.\.|…){SPACE}*\z"))), n_lines).alias("ellipsis_line_ratio"),
         )
 
     return let(words, over_words)
