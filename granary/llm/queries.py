@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, packing, pii, quality, simhash, substring, suffix, tokens, warc
+from . import chat, decontam, oracles, packing, pii, quality, simhash, substring, suffix, tokens, warc
 from .common import table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
