@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,20 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _OWN_ROOT
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, once per application: where they run it need not be installed."""
+    context = spark.sparkContext
+    if getattr(context, "_granary_shipped", False):
+        return
+    root = Path(__file__).parent.parent
+    path = Path(tempfile.mkdtemp(prefix="granary-code-")) / "granary_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    context.addPyFile(str(path))
+    context._granary_shipped = True
+
+
 class Scratch:
     """Intermediate tables written to the shared folder; they survive the loss of executors.
 

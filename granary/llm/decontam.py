@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
+from .common import ship
 
 WINDOW = 8
 #: Items that make a document contaminated.
@@ -134,6 +135,7 @@ def _groups(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
 def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, n_words, hit word ranges and item ids for every row of ``docs``."""
     spark = docs.sparkSession
+    ship(spark)
     d = docs.select("doc_id", *keep, F.col("text").cast("string").alias("__text"))
     state = "__words long, __ranges array<struct<a:long,b:long>>, __items array<string>"
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in d.schema.fields)

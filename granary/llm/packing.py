@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texts, tokens
-from .common import Scratch
+from .common import Scratch, ship
 
 WINDOW = 2048
 END = 1
@@ -61,6 +61,7 @@ def encoded(docs: DataFrame, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
                 ["doc_id", "queue", "ids", "n", "part", "start_in_part"],
             )
 
+    ship(docs.sparkSession)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
     d = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("queue"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, queue string, ids binary, n long, part int, start_in_part long")

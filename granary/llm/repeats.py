@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, ship
 
 #: Bytes of text in a chunk; one document at least.
 CHUNK = 1 << 20
@@ -259,6 +259,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         if parts:
             yield out()
 
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, _CHUNKS)
 

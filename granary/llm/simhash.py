@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
-from .common import Scratch
+from .common import Scratch, ship
 from .graph import connected_components
 
 SHINGLE = 3
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter(map(fingerprint, texts.raw(b.column("text"))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -178,6 +179,7 @@ def links(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
         found = np.array(shard_links(group["fp"].to_numpy(np.int64).view(np.uint64), radius), np.uint64).reshape(-1, 2)
         return pd.DataFrame(found.view(np.int64), columns=["a", "b"])
 
+    ship(unique.sparkSession)
     routed = unique.select("fp").mapInArrow(route, "shard int, fp long")
     spread = routed.repartition(2 * shards, "shard") if shards > 1 else routed  # small shards are long work: their tasks must not be merged
     return spread.groupBy("shard").applyInPandas(join, "a long, b long")
@@ -210,6 +212,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), pa.array(fps.view(np.int64)), pa.array(np.arange(row, row + b.num_rows))], [*own, "__fp", "__row"])
             row += b.num_rows
 
+    ship(docs.sparkSession)
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
     rows = scratch.save(docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, f"{fields}, __fp long, __row long"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row"))

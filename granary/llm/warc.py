@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f6d3a3e-2a55-5d0c-9a52-0d7e3b1f4c10")
 CRLF = b"\r\n"
@@ -150,6 +152,7 @@ def responses(pages: DataFrame) -> DataFrame:
             made = [response(u or "", h or "") for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(made, pa.binary())], ["page_id", "record"])
 
+    ship(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, f"page_id {kind}, record binary")
 
@@ -170,6 +173,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 made = [derive(x.as_py()) for x in part.column("record")]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), *(pa.array([getattr(d, k) for d in made], t) for k, t in zip(names, types, strict=True))], ["page_id", *names])
 
+    ship(records.sparkSession)
     kind = records.schema["page_id"].dataType.simpleString()
     return records.select("page_id", "record").mapInArrow(run, f"page_id {kind}, {_FIELDS}")
 
@@ -195,5 +199,6 @@ def write(derived: DataFrame, path: str) -> None:
             both = [gzip.compress(m.as_py() or b"", mtime=0) + gzip.compress(c.as_py() or b"", mtime=0) for m, c in zip(b.column("metadata"), b.column("conversion"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(both, pa.binary())], ["page_id", "members"])
 
+    ship(derived.sparkSession)
     kind = derived.schema["page_id"].dataType.simpleString()
     derived.select("page_id", "metadata", "conversion").mapInArrow(run, f"page_id {kind}, members binary").write.parquet(path)
