@@ -28,8 +28,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bytes of a table up to which its rows are dealt to all cores: a small file is often one row group, thus one task.
+SMALL = 24 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+    return df.repartition(max(1, spark.sparkContext.defaultParallelism)) if small else df
 
 
 def shared_root(spark: SparkSession) -> str:
