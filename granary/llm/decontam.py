@@ -122,41 +122,50 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in groups of bounded bytes; one group at a time is on the driver."""
+def _groups(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """The items in groups of bounded bytes, one of them on the driver at a time; and whether a group is the last."""
     b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n_bytes = b.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = max(1, -(-n_bytes * 3 // (2 * GROUP_BYTES)))
     for k in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()]
+        yield [(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()], k == n - 1
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep``, n_words, hit word ranges and item ids for every row of ``docs``."""
+_RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
+    """doc_id, the columns of ``keep``, the text, n_words, hit word ranges and item ids for every row of ``docs``.
+
+    With ``cut``, hit words are taken out of the text, and the ranges are those of the old one.
+    """
     spark = docs.sparkSession
     ship(spark)
     d = docs.select("doc_id", *keep, F.col("text").cast("string").alias("__text"))
     state = "__words long, __ranges array<struct<a:long,b:long>>, __items array<string>"
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in d.schema.fields)
-    for group in _groups(benchmark):
+    for group, last in _groups(benchmark):
         shared = spark.sparkContext.broadcast(group)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             found = searchers(shared.value)
             for b in texts.small(batches, "__text"):
-                n, ranges, items = [], [], []
+                n, ranges, items, column = [], [], [], b.column("__text")
                 before = zip(b.column("__ranges").to_pylist(), b.column("__items").to_pylist(), strict=True) if "__ranges" in b.schema.names else iter([])
-                for text in texts.raw(b.column("__text")):
+                for text in texts.raw(column):
                     old_r, old_i = next(before, ((), ()))
                     w, r, i = scan(text, found)
                     n.append(w)
                     ranges.append(merged(r + [(x["a"], x["b"]) for x in old_r or ()]))
                     items.append(sorted(i | set(old_i or ())))
+                if cut and last and any(ranges):
+                    column = pa.array([without(c.as_py().encode(), r).decode() if r else c.as_py() for r, c in zip(ranges, column, strict=True)], column.type)
                 own = [k for k in b.schema.names if k not in ("__words", "__ranges", "__items")]
-                made = pa.array([[{"a": x, "b": y} for x, y in r] for r in ranges], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                made = pa.array([[{"a": x, "b": y} for x, y in r] for r in ranges], _RANGES)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k) for k in own), pa.array(n, pa.int64()), made, pa.array(items, pa.list_(pa.string()))], [*own, "__words", "__ranges", "__items"]
+                    [*(column if k == "__text" else b.column(k) for k in own), pa.array(n, pa.int64()), made, pa.array(items, pa.list_(pa.string()))],
+                    [*own, "__words", "__ranges", "__items"],
                 )
 
         d = d.mapInArrow(run, f"{fields}, {state}")
@@ -195,20 +204,8 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated rows of ``docs`` go; from the others the hit words go. The columns stay; n_chars follows a text that changed."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = hits(docs, benchmark, others).where(F.size("__items") < MIN_ITEMS)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ranges, column = b.column("__ranges").to_pylist(), b.column("__text")
-            if any(ranges):
-                new = [None if not c.is_valid else c.as_py() if not r else without(c.as_py().encode(), [(x["a"], x["b"]) for x in r]).decode() for r, c in zip(ranges, column, strict=True)]
-                column = pa.array(new, column.type)
-            own = [k for k in b.schema.names if k != "__ranges"]
-            yield pa.RecordBatch.from_arrays([*(column if k == "__text" else b.column(k) for k in own), pa.array(map(bool, ranges), pa.bool_())], [*own, "__cut"])
-
-    kept = found.select("doc_id", *others, "__text", "__ranges")
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields if x.name != "__ranges")
-    out = kept.mapInArrow(cut, f"{fields}, __cut boolean").withColumnRenamed("__text", "text")
+    out = hits(docs, benchmark, others, cut=True).where(F.size("__items") < MIN_ITEMS).withColumnRenamed("__text", "text")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size("__ranges") > 0, n_chars).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
