@@ -148,6 +148,32 @@ def masked(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
     return let(F.when(_NEEDS[k](text), replaced(text, PATTERNS[k], mask)).otherwise(text), lambda t: masked(t, rest))
 
 
+def covered(text: Column) -> Column:
+    """``masked``, but where base spans of the text overlap their union is masked first, with the mask of the longest.
+
+    A kind that is masked first would else cut another's span, and the rest of that would stay.
+    """
+    span = lambda k: lambda s: F.struct(s["a"].alias("a"), (-s["b"]).alias("z"), F.lit(_MASKS[k]).alias("c"), (s["b"] - s["a"]).alias("n"))
+    spans = lambda b: F.array_sort(F.concat(*(F.transform(b[k], span(k)) for k in PATTERNS)))
+    cut = lambda s: F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i)["a"] < -F.get(s, i - 1)["z"])
+
+    def join(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = lambda f: F.when(s["n"] > last["n"], s[f]).otherwise(last[f]).alias(f)
+        one = F.struct(last["a"].alias("a"), F.least(last["z"], s["z"]).alias("z"), longer("c"), longer("n"))
+        return F.when((F.size(acc) > 0) & (s["a"] < -last["z"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(one))).otherwise(F.concat(acc, F.array(s)))
+
+    def out(m: Column) -> Column:
+        end = lambda i: F.coalesce(-F.get(m, i - 1)["z"], F.lit(0))
+        part = lambda s, i: F.concat(F.substring(text, (end(i) + 1).cast("int"), (s["a"] - end(i)).cast("int")), F.repeat(s["c"], (-s["z"] - s["a"]).cast("int")))
+        rest = F.substring(text, (end(F.size(m)) + 1).cast("int"), F.char_length(text))
+        return F.concat(F.array_join(F.transform(m, part), ""), rest)
+
+    none = F.array().cast("array<struct<a:bigint,z:bigint,c:string,n:bigint>>")
+    union = let(let(base(text), spans), lambda s: F.when((F.size(s) > 1) & cut(s), let(F.aggregate(s, none, join), out)).otherwise(text))
+    return let(union, lambda t: masked(t))
+
+
 def _any(words: list[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
@@ -309,7 +335,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with ``[KIND]`` in place of every span; columns stay."""
-    mask = masked(_text())
+    mask = let(_text(), covered)
     model = train(counted(docs.select(let(mask, candidates).alias("cands"))))
 
     def cut(t: Column) -> Column:

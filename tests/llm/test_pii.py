@@ -120,3 +120,15 @@ def test_redaction(spark):
     assert out[1]["text"] == "mail [EMAIL] or [IP], card [CARD], [PHONE]." and out[1]["n_chars"] == len(out[1]["text"])
     assert out[2]["text"] == texts[1] and out[3]["text"] is None and out[4]["text"] == texts[3]
     assert out[5]["text"] == 'token = "[SECRET]"'
+
+
+def test_redaction_of_overlapping_base_spans(spark):
+    """Only what no base span of the raw text covers stays."""
+    texts = ["call +33 1.23.45.67.89 now", "or +49.30.12.34.56.78, and +1.2.3.4.5.6.7.8.9", "1.2.3.4@mail.example.org é", "mail a@b.org", "+1 4111111111111111 x@y.org", "+33 1.23.45.67.89" * 2, "plain", None]
+    texts += ["".join(p) for k in range(60) for p in [np.random.default_rng(k).choice(PIECES, 14)]]
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(frame(spark, texts)).collect()}
+    assert [got[k] for k in (1, 2, 3, 4, 7, 8)] == ["call [PHONE] now", "or [PHONE], and [PHONE]", "[EMAIL] é", "mail [EMAIL]", "plain", None]
+    for i, t in enumerate(texts, 1):
+        held = {k for spans in brute(t).values() for a, b in spans for k in range(a, b)}
+        left = iter("".join(c for k, c in enumerate(t or "") if k not in held))
+        assert all(c in left for c in re.sub(r"\[[A-Z]+\]", "", got[i] or "")), (t, got[i])
