@@ -9,21 +9,29 @@ schedule is therefore a small table (bounded by queues and ``CYCLE``, not by the
 corpus), from which any task finds the window of any token of a queue by arithmetic:
 deficits carry across windows and partitions, yet no task waits for another.
 
+Up to ``QUEUES`` queues share one schedule. More are dealt into groups, each with a
+schedule of its own that hands out as many tokens at a time as the group earns in a
+window; groups are the queues of the level above, up to one last level. So each source
+keeps its share of a window whatever their number, and no schedule is collected: each
+is made in one task from at most about ``QUEUES`` totals and joined where it is needed.
+
 One pass tokenizes and writes ids with each document's place in its partition's part
 of the queue; a window sum over (queue, partition) totals gives where each part
-begins; a second pass cuts documents into pieces. Ids are written once and never
-shuffled. A source with a third of all rows is no group anywhere: its rows stay where
-they are.
-
-Defined results: a null or empty text is one token (the end id); a null source is a
-queue of its own; repeated rows are packed as often as they occur; only the last
-window can be short, so padding is less than one window; an empty table packs into
-nothing. Beyond ``QUEUES`` sources, the smaller ones share queues.
+begins; a second pass cuts documents into pieces. Ids are written once. A source with
+a third of all rows is no group anywhere: its rows stay where they are.
+
+Defined results: a null or empty text is one token (the end id); a text of any length
+is packed whole; a null source is a queue of its own; repeated rows are packed as often
+as they occur; only the last window can be short, so padding is less than one window; a
+source without a stated proportion comes after those with one, and the share of a source
+that has ended passes to the others of its group, then to all; other columns, whatever
+their names, are not looked at; an empty table packs into nothing.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +45,11 @@ from .common import Scratch, ship
 
 WINDOW = 2048
 END = 1
-QUEUES = 256
+#: Queues of one schedule; with more, groups of about half as many.
+QUEUES = 64
 CYCLE = 16
-#: Rows (queue, partition) up to which their begins are broadcast: 40 bytes each.
-BROADCAST_ROWS = 500_000
+#: Bytes of the table of (queue, partition) up to which it is broadcast.
+BROADCAST = 32 << 20
 
 
 def encoded(docs: DataFrame, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
@@ -50,7 +59,7 @@ def encoded(docs: DataFrame, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
         encode = tokens.encoder(tokenizer, "ids")
         width = tokens.width(tokenizer)
         part, held, end = TaskContext.get().partitionId(), {}, END.to_bytes(width, "little")
-        for b in texts.small(batches, "text"):
+        for b in texts.small(batches, "text", tokens.BATCH):
             ids, starts, queues = [], [], b.column("queue").to_pylist()
             for q, found in zip(queues, tokens.walk(encode, list(texts.raw(b.column("text")))), strict=True):
                 ids.append(b"".join(found) + end)
@@ -122,31 +131,98 @@ class Schedule:
             window += len(takes) * n
         self.windows = window
 
-    def of_queue(self, q: int) -> list[tuple[int, int, int, list, list, int]]:
-        """Segments that serve a queue: tokens before, tokens per cycle, cycles, ends, offsets, first window."""
-        return [(int(b[q]), int(e[-1, q]), n, e[:, q].tolist(), o[:, q].tolist(), w) for w, n, b, e, o in self.segments if e[-1, q]]
+    def of_queue(self, q: int) -> list[dict]:
+        """Segments that serve a queue: tokens before, tokens per cycle, cycles, first window, ends and offsets by window."""
+        out = [(b[q], e[-1, q], n, w, e[:, q], o[:, q]) for w, n, b, e, o in self.segments if e[-1, q]]
+        return [{k: x.tolist() if isinstance(x, np.ndarray) else int(x) for k, x in zip(_SEGMENT, s, strict=True)} for s in out]
 
 
-def _pieces(queue: list, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(tokens before, length, window, offset) of the tokens at..at+n of a queue."""
-    from bisect import bisect_right
+_SEGMENT = {"before": pa.int64(), "per": pa.int64(), "cycles": pa.int64(), "window": pa.int64(), "ends": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64())}
+_SEGMENTS = "array<struct<before:long,per:long,cycles:long,window:long,ends:array<long>,offsets:array<long>>>"
+_CHAIN = f"array<struct<size:long,segments:{_SEGMENTS}>>"
 
+
+def _pieces(segments: list[dict], at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(tokens before, length, window, offset) of the tokens at..at+n of a queue."""
     done = 0
-    k = bisect_right(queue, at, key=lambda s: s[0]) - 1
+    k = bisect_right(segments, at, key=lambda s: s["before"]) - 1
     while done < n:
-        before, per, cycles, ends, offsets, window = queue[k]
-        rank = at + done - before
-        cycle, rest = divmod(rank, per)
-        if cycle >= cycles:
+        s = segments[k]
+        cycle, rest = divmod(at + done - s["before"], s["per"])
+        if cycle >= s["cycles"]:
             k += 1
             continue
+        ends = s["ends"]
         j = bisect_right(ends, rest)
         begin = ends[j - 1] if j else 0
         length = min(ends[j] - rest, n - done)
-        yield done, length, window + cycle * len(ends) + j, offsets[j] + rest - begin
+        yield done, length, s["window"] + cycle * len(ends) + j, s["offsets"][j] + rest - begin
         done += length
 
 
+def _placed(chain: list[dict], at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """The same through the levels of ``chain``: the windows of a group, one after the other, are a queue of the level above."""
+    for piece in _pieces(chain[0]["segments"], at, n):
+        if len(chain) == 1:
+            yield piece
+            continue
+        done, length, window, offset = piece
+        for d, part, w, o in _placed(chain[1:], window * chain[0]["size"] + offset, length):
+            yield done + d, part, w, o
+
+
+def _level(keys: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """Of keys (key, n, target): (key, up, size, segments), and the keys of the level above unless this is the last one."""
+    count, all_ = keys.agg(F.count(F.lit(1)), F.sum("target")).head()
+    groups = 1 if count <= QUEUES else -(-2 * count // QUEUES)
+    dealt = keys.withColumn("up", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("string"))
+
+    def scheduled(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        totals, targets = table.column("n").to_numpy(), table.column("target").to_numpy()
+        own = size if groups == 1 else max(-(-4 * len(totals) // CYCLE), round(size * targets.sum() / all_) if all_ else 0)
+        plan = Schedule(totals, targets, own)
+        made = pa.array([plan.of_queue(k) for k in range(len(totals))], pa.list_(pa.struct(list(_SEGMENT.items()))))
+        return pa.table({"key": table.column("key"), "up": table.column("up"), "size": pa.array([own] * len(totals), pa.int64()), "segments": made})
+
+    plans = dealt.groupBy("up").applyInArrow(scheduled, f"key string, up string, size long, segments {_SEGMENTS}")
+    above = dealt.groupBy(F.col("up").alias("key")).agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    return plans, above if groups > 1 else None
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """(queue, part, begin, key, from, to, chain): from..to, places in the last level of ``chain``, as places in the level above, whose key is ``up``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, last = [], []
+            for chain, x, y in zip(b.column("chain"), b.column("from").to_pylist(), b.column("to").to_pylist(), strict=True):
+                level = chain[-1].as_py()
+                for out, at in ((first, x), (last, y - 1)):
+                    _, _, window, offset = next(_pieces(level["segments"], at, 1))
+                    out.append(window * level["size"] + offset)
+            names = ["queue", "part", "begin", "up", "chain"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(first, pa.int64()), pa.array([x + 1 for x in last], pa.int64())], [*names, "from", "to"])
+
+    out = rows.select("queue", "part", "begin", "up", "chain", "from", "to").mapInArrow(run, f"queue string, part int, begin long, up string, chain {_CHAIN}, from long, to long")
+    return out.withColumnRenamed("up", "key")
+
+
+def _chains(parts: DataFrame, keys: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """Of parts (queue, part, n, begin): what of the schedules their tokens need, from their own level to the last."""
+    rows = parts.select("queue", "part", "begin", F.col("queue").alias("key"), F.col("begin").alias("from"), (F.col("begin") + F.col("n")).alias("to"), F.array().cast(_CHAIN).alias("chain"))
+    level = 0
+    while True:
+        plans, above = _level(keys, size)
+        plans = scratch.save(plans, f"plans{level}")
+        needed = lambda s: (s["before"] < F.col("to")) & (s["before"] + s["per"] * s["cycles"] > F.col("from"))
+        link = F.struct(F.col("size"), F.filter("segments", needed).alias("segments"))
+        rows = rows.join(plans, "key").withColumn("chain", F.concat("chain", F.array(link))).drop("size", "segments")
+        if above is None:
+            return scratch.save(rows.select("queue", "part", "begin", "chain"), "begins")
+        rows, keys, level = scratch.save(_ranges(rows), f"rows{level}"), scratch.save(above, f"keys{level}"), level + 1
+
+
 def pack(docs: DataFrame, proportions: dict[str | None, float] | None = None, tokenizer: str = tokens.TOKENIZER, size: int = WINDOW) -> DataFrame:
     """One row per piece. ``proportions``: target share of tokens by source, while it lasts; without it, each source's own share."""
     spark = docs.sparkSession
@@ -154,29 +230,29 @@ def pack(docs: DataFrame, proportions: dict[str | None, float] | None = None, to
     ids = scratch.save(encoded(docs, tokenizer), "ids")
     parts = ids.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     parts = scratch.save(parts.withColumn("begin", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")), "parts")
-    totals = parts.groupBy("queue").agg(F.sum("n").alias("n"))
-    ranked = totals.orderBy(F.desc("n"), "queue").limit(QUEUES).collect()
-    names = {r["queue"]: k for k, r in enumerate(ranked)}
-    n_of = [r["n"] for r in ranked]
-    begins, n_of = _shared_queues(parts, names, n_of)
-    share = np.array(n_of, float)
+    keys = parts.groupBy(F.col("queue").alias("key")).agg(F.sum("n").alias("n"))
     if proportions:
-        share = np.array([proportions.get(k[1:] if k != "null" else None, 0.0) for k in names] + [0.0] * (len(n_of) - len(names)))
-    plan = Schedule(np.array(n_of, np.int64), share, size)
-    queues = [plan.of_queue(k) for k in range(len(n_of))]
-    of_name, shared = dict(names), len(n_of) - 1
-    if begins.count() <= BROADCAST_ROWS:
+        told = spark.createDataFrame([("null" if k is None else f"s{k}", float(v)) for k, v in proportions.items()], "key string, target double")
+        keys = keys.join(told, "key", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+    else:
+        keys = keys.withColumn("target", F.col("n").cast("double"))
+    begins = _chains(parts, scratch.save(keys, "keys"), size, scratch)
+    held = F.aggregate("chain", F.lit(64).cast("long"), lambda acc, c: acc + F.size(c["segments"]) * F.lit(64 + 16 * CYCLE))
+    if (begins.agg(F.sum(held)).head()[0] or 0) <= BROADCAST:
         begins = F.broadcast(begins)
-    joined = ids.join(begins, (ids["queue"] == begins["q_name"]) & (ids["part"] == begins["q_part"]))
     width = tokens.width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in texts.small(batches, "ids"):
+        for b in texts.small(batches, "ids", tokens.BATCH):
             rows, out = [], ([], [], [], [], [], [])
-            for i, (q, raw, at) in enumerate(zip(b.column("queue").to_pylist(), b.column("ids"), b.column("at").to_pylist(), strict=True)):
+            keys = zip(b.column("queue").to_pylist(), b.column("part").to_pylist(), strict=True)
+            chains = {}
+            for i, (key, raw, at) in enumerate(zip(keys, b.column("ids"), b.column("at").to_pylist(), strict=True)):
+                if key not in chains:
+                    chains[key] = b.column("chain")[i].as_py()
                 wide = np.frombuffer(raw.as_py(), f"<u{width}").astype("<u4").data.cast("B")
                 n = len(wide) // 4
-                for begin, length, window, offset in _pieces(queues[of_name.get(q, shared)], at, n):
+                for begin, length, window, offset in _placed(chains[key], at, n):
                     rows.append(i)
                     for x, v in zip(out, (begin, length, zlib.crc32(wide[4 * begin : 4 * (begin + length)]), n, window, offset), strict=True):
                         x.append(v)
@@ -185,30 +261,6 @@ def pack(docs: DataFrame, proportions: dict[str | None, float] | None = None, to
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    placed = joined.select("doc_id", "queue", "ids", (F.col("begin") + F.col("start_in_part")).alias("at"))
+    placed = ids.join(begins, ["queue", "part"]).select("doc_id", "queue", "part", "ids", (F.col("begin") + F.col("start_in_part")).alias("at"), "chain")
     kind = ids.schema["doc_id"].dataType.simpleString()
     return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
-def _shared_queues(parts: DataFrame, names: dict[str, int], n_of: list[int]) -> tuple[DataFrame, list[int]]:
-    """With more sources than queues: the largest keep their own, all others follow each other in one."""
-    own = list(names)
-    if len(own) < QUEUES:
-        return parts.select(F.col("queue").alias("q_name"), F.col("part").alias("q_part"), "begin"), n_of
-    rest = parts.where(~F.col("queue").isin(own))
-    per_source = rest.groupBy("queue").agg(F.sum("n").alias("total"))
-    # sources of the shared queue in the order of a hash bucket, then of the name: two levels, so no sort in one task
-    bucket = F.pmod(F.xxhash64("queue"), F.lit(1024))
-    per_bucket = per_source.groupBy(bucket.alias("bucket")).agg(F.sum("total").alias("in_bucket")).collect()
-    at, base = 0, {}
-    for r in sorted(per_bucket, key=lambda r: r["bucket"]):
-        base[r["bucket"]] = at
-        at += r["in_bucket"]
-    if not base:
-        return parts.select(F.col("queue").alias("q_name"), F.col("part").alias("q_part"), "begin"), n_of
-    from_map = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    w = Window.partitionBy("bucket").orderBy("queue")
-    placed = per_source.withColumn("bucket", bucket).withColumn("base", F.sum("total").over(w) - F.col("total") + from_map[F.col("bucket")])
-    shifted = rest.join(placed.select("queue", "base"), "queue").select("queue", "part", (F.col("begin") + F.col("base")).alias("begin"))
-    both = parts.where(F.col("queue").isin(own)).select("queue", "part", "begin").union(shifted)
-    return both.select(F.col("queue").alias("q_name"), F.col("part").alias("q_part"), "begin"), [*n_of, at]

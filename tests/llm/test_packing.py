@@ -107,3 +107,18 @@ def test_proportions_of_windows(spark):
         windows[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
     early = [w for k, w in windows.items() if k < 20]
     assert all(abs(w["a"] - 1536) <= 8 for w in early)
+
+
+def test_proportions_of_many_sources(spark):
+    rows = [(i, prose(i, 150), "en", f"s{i % 300}", None) for i in range(600)]
+    target = {f"s{k}": 3.0 if k < 100 else 1.0 for k in range(300)}
+    got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(5), target).collect()
+    check([(r[0], r[1]) for r in rows], got)
+    source, tokens = {r[0]: r[3] for r in rows}, defaultdict(int)
+    early = 12
+    for r in got:
+        if r["sequence_id"] < early:
+            tokens[source[r["doc_id"]]] += r["length"]
+    assert len(tokens) == 300
+    for k, share in target.items():
+        assert abs(tokens[k] - early * 2048 * share / 500) <= 16
