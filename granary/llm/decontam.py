@@ -10,7 +10,8 @@ the scan is repeated, carrying what was found, for each group.
 
 Defined results: a null or empty text has no words and no hits; a null or wordless
 item is never found; items that share a window are all counted; repeated item ids
-count once; repeated documents are judged one by one; an empty benchmark hits nothing.
+count once; repeated documents are judged one by one; an empty benchmark hits nothing;
+texts of any length are scanned whole; other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import texts
-from .common import ship
+from .common import Scratch, column, ship, widened
 
 WINDOW = 8
 #: Items that make a document contaminated.
@@ -133,53 +137,95 @@ def _groups(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str, bytes]], boo
 
 
 _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_HITS = "ranges array<struct<a:long,b:long>>, items array<string>"
+#: Documents with hits up to which these are broadcast to be joined.
+BROADCAST_HITS = 50_000
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
-    """doc_id, the columns of ``keep``, the text, n_words, hit word ranges and item ids for every row of ``docs``.
+def _found(text: str, group, only: bool, rows: DataFrame, schema: StructType, cut: bool = False) -> DataFrame:
+    """``rows`` with words, ranges and items after their columns; with ``only``, those with hits, without text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = searchers(group.value)
+        for b in texts.small(batches, text):
+            n, ranges, items, column = [], [], [], b.column(text)
+            for x in texts.raw(column):
+                w, r, i = scan(x, found)
+                n.append(w)
+                ranges.append(r)
+                items.append(sorted(i))
+            if cut:
+                column = _without(column, ranges)
+            made = [pa.array(n, pa.int64()), pa.array([[{"a": x, "b": y} for x, y in r] for r in ranges], _RANGES), pa.array(items, pa.list_(pa.string()))]
+            own = [k for k in b.schema.names if not only or k != text]
+            out = pa.RecordBatch.from_arrays([*(column if k == text else b.column(k) for k in own), *made], [*own, "words", "ranges", "items"])
+            yield out.filter(pa.array([bool(r) for r in ranges])) if only else out
+
+    return rows.mapInArrow(run, schema)
+
+
+def _without(column: pa.Array, ranges: list[list[tuple[int, int]]]) -> pa.Array:
+    if not any(ranges):
+        return column
+    return pa.array([without(x.as_py().encode(), r).decode() if r else x.as_py() for x, r in zip(column, ranges, strict=True)], column.type)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, whole: bool = False, cut: bool = False) -> DataFrame:
+    """doc_id, text, words (their number), ranges of hit words, and items for every row of ``docs``; with ``whole``, its columns as ``own``.
 
     With ``cut``, hit words are taken out of the text, and the ranges are those of the old one.
     """
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select("doc_id", *keep, F.col("text").cast("string").alias("__text"))
-    state = "__words long, __ranges array<struct<a:long,b:long>>, __items array<string>"
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in d.schema.fields)
-    for group, last in _groups(benchmark):
+    own = [F.struct(*(column(c) for c in docs.columns if c != "text")).alias("own")] if whole else []
+    d = docs.select("doc_id", *own, F.col("text").cast("string").alias("text"))
+    groups = _groups(benchmark)
+    group, last = next(groups)
+    if last:
+        return _found("text", spark.sparkContext.broadcast(group), False, d, widened(d.schema, f"words long, {_HITS}"), cut)
+    scratch = Scratch(spark)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 36
+        for b in texts.small(batches, "text"):
+            n = [scan(x, [])[0] for x in texts.raw(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(at, at + b.num_rows)), pa.array(n, pa.int64())], [*b.schema.names, "row", "words"])
+            at += b.num_rows
+
+    rows = scratch.save(d.mapInArrow(numbered, widened(d.schema, "row long, words long")), "rows")
+    told, k = None, 0
+    while True:
         shared = spark.sparkContext.broadcast(group)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            found = searchers(shared.value)
-            for b in texts.small(batches, "__text"):
-                n, ranges, items, column = [], [], [], b.column("__text")
-                before = zip(b.column("__ranges").to_pylist(), b.column("__items").to_pylist(), strict=True) if "__ranges" in b.schema.names else iter([])
-                for text in texts.raw(column):
-                    old_r, old_i = next(before, ((), ()))
-                    w, r, i = scan(text, found)
-                    n.append(w)
-                    ranges.append(merged(r + [(x["a"], x["b"]) for x in old_r or ()]))
-                    items.append(sorted(i | set(old_i or ())))
-                if cut and last and any(ranges):
-                    column = pa.array([without(c.as_py().encode(), r).decode() if r else c.as_py() for r, c in zip(ranges, column, strict=True)], column.type)
-                own = [k for k in b.schema.names if k not in ("__words", "__ranges", "__items")]
-                made = pa.array([[{"a": x, "b": y} for x, y in r] for r in ranges], _RANGES)
-                yield pa.RecordBatch.from_arrays(
-                    [*(column if k == "__text" else b.column(k) for k in own), pa.array(n, pa.int64()), made, pa.array(items, pa.list_(pa.string()))],
-                    [*own, "__words", "__ranges", "__items"],
-                )
-
-        d = d.mapInArrow(run, f"{fields}, {state}")
-    return d
+        part = scratch.save(_found("text", shared, True, rows.select("row", "text"), StructType.fromDDL(f"row long, words long, {_HITS}")), f"hits{k}")
+        shared.destroy()
+        told, k = part if told is None else told.union(part), k + 1
+        if last:
+            break
+        group, last = next(groups)
+    told = told.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    told = scratch.save(told, "hits")
+    names = d.columns
+    out = rows.join(F.broadcast(told) if told.count() <= BROADCAST_HITS else told, "row", "left")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in texts.small(batches, "text"):
+            ranges = [merged([(x["a"], x["b"]) for x in r or ()]) for r in b.column("ranges").to_pylist()]
+            items = [i or [] for i in b.column("items").to_pylist()]
+            text = _without(b.column("text"), ranges) if cut else b.column("text")
+            made = [b.column("words"), pa.array([[{"a": x, "b": y} for x, y in r] for r in ranges], _RANGES), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(text if k == "text" else b.column(k) for k in names), *made], [*names, "words", "ranges", "items"])
+
+    return out.mapInArrow(joined, widened(d.schema, f"words long, {_HITS}"))
 
 
 def score(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of ``docs``."""
     found = hits(docs, benchmark)
-    n_hit = F.aggregate("__ranges", F.lit(0).cast("long"), lambda acc, r: acc + r["b"] - r["a"])
-    n_items = F.size("__items").cast("long")
+    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, r: acc + r["b"] - r["a"])
+    n_items = F.size("items").cast("long")
     return found.select(
-        "doc_id", F.col("__words").alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (n_items >= MIN_ITEMS).alias("contaminated"),
+        "doc_id", F.col("words").alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_items >= MIN_ITEMS).alias("contaminated"),
     )
 
 
@@ -203,9 +249,14 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated rows of ``docs`` go; from the others the hit words go. The columns stay; n_chars follows a text that changed."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = hits(docs, benchmark, others, cut=True).where(F.size("__items") < MIN_ITEMS).withColumnRenamed("__text", "text")
-    if "n_chars" in docs.columns:
-        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.size("__ranges") > 0, n_chars).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = hits(docs, benchmark, True, True).where(F.size("items") < MIN_ITEMS)
+
+    def made(name: str):
+        if name == "text":
+            return F.col("text")
+        own = F.col("own")[name]
+        if name != "n_chars":
+            return own.alias(name)
+        return F.when(F.size("ranges") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own).alias(name)
+
+    return out.select(*map(made, docs.columns))

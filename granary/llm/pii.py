@@ -15,8 +15,8 @@ by characters of equal number, so they never overlap.
 
 Defined results: a null text is empty and has no spans; rows are judged one by one, so
 repeated rows get equal spans; an empty table gives an empty result and a classifier
-that accepts nothing; ``redacted`` passes other columns through and ``n_chars`` follows
-a text that changed.
+that accepts nothing; a text of any length is searched whole; ``redacted`` passes other
+columns through, whatever their names, and ``n_chars`` follows a text that changed.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Scratch, column, fresh, let
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Base patterns. Quantifiers are possessive and starts guarded, which changes no match but makes long texts linear.
@@ -218,8 +218,11 @@ def labelled(s: Column) -> Column:
 
 def candidates(mask: Column) -> Column:
     """Labelled candidates of a masked text."""
-    needs = mask.rlike(rf"[0-9]|[A-Za-z+/_=-]{{20}}|(?:{'|'.join(TITLES)})\.?\x20\p{{Lu}}")
-    return F.transform(found(mask, CANDIDATE, needs), labelled)
+    return F.transform(found(mask, CANDIDATE, _may_hold(mask)), labelled)
+
+
+def _may_hold(mask: Column) -> Column:
+    return mask.rlike(rf"[0-9]|[A-Za-z+/_=-]{{20}}|(?:{'|'.join(TITLES)})\.?\x20\p{{Lu}}")
 
 
 @dataclass
@@ -333,28 +336,44 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``[KIND]`` in place of every span; columns stay."""
-    mask = let(_text(), covered)
-    model = train(counted(docs.select(let(mask, candidates).alias("cands"))))
+def _parted(t: Column) -> Column:
+    """Struct of what stands between the candidates of a text, and of the candidates with their texts."""
+    none = F.array().cast("array<struct<m:string,s:struct<a:bigint,b:bigint,kind:string,size:int,digits:int,v_pattern:int,v_gazetteer:int,v_context:int>>>")
+    here = lambda x, part: F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), x.alias("m"), F.right(part, F.lit(_BEFORE)).alias("before"))
 
-    def cut(t: Column) -> Column:
-        def out(spans: Column) -> Column:
-            by = lambda parts: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(label(F.get(spans, i)), F.lit("")))), "")
-            return F.when(F.size(spans) == 0, t).otherwise(let(F.split(t, CANDIDATE, -1), by))
+    def of(m: Column) -> Column:
+        items = lambda parts: F.transform(m, lambda x, i: F.struct(x.alias("m"), labelled(here(x, F.get(parts, i))).alias("s")))
+        some = let(F.split(t, CANDIDATE, -1), lambda parts: F.struct(parts.alias("parts"), items(parts).alias("items")))
+        return F.when(F.size(m) == 0, F.struct(F.array(t).alias("parts"), none.alias("items"))).otherwise(some)
 
-        def label(s: Column) -> Column:
-            return F.when(model.accepts(s["s"]), F.concat(F.lit("["), F.upper(s["s"]["kind"]), F.lit("]"))).otherwise(s["m"])
+    return let(F.when(_may_hold(t), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")), of)
 
-        both = F.transform(found(t, CANDIDATE), lambda s: F.struct(labelled(s).alias("s"), s["m"].alias("m")))
-        return let(both, out)
 
-    new = let(mask, cut)
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``[KIND]`` in place of every span; columns stay, whatever their names.
+
+    Patterns run once over each text: the texts are written in parts with their
+    candidates, from which the classifier is trained and the new texts are put together.
+    """
+    scratch = Scratch(docs.sparkSession)
+    cut, new = fresh(docs, "cut_", "new_")
+    own = [column(c) for c in docs.columns]
+    made = let(_text(), lambda x: let(covered(x), lambda t: F.struct((t != x).alias("masked"), _parted(t).alias("of"))))
+    others = [c for c, name in zip(own, docs.columns, strict=True) if name != "text"]
+    held = scratch.save(docs.select(*others, F.when(F.col("text").isNotNull(), made).alias(cut)), "parts")
+    of = F.col(cut)["of"]
+    model = train(counted(held.select(F.transform(of["items"], lambda i: i["s"]).alias("cands"))))
+
+    def label(item: Column) -> Column:
+        return F.when(model.accepts(item["s"]), F.concat(F.lit("["), F.upper(item["s"]["kind"]), F.lit("]"))).otherwise(item["m"])
+
+    text = F.array_join(F.transform(of["parts"], lambda p, i: F.concat(p, F.coalesce(label(F.get(of["items"], i)), F.lit("")))), "")
+    whole = F.when(F.size(of["items"]) == 0, F.get(of["parts"], 0)).otherwise(text)
+    marked = whole
     for k, c in _MASKS.items():
-        new = F.regexp_replace(new, f"{c}+", f"[{k.upper()}]")
-    out = docs.withColumn("__new", F.when(F.col("text").isNotNull(), new))
+        marked = F.regexp_replace(marked, f"{c}+", f"[{k.upper()}]")
+    changed = F.col(cut)["masked"] | F.exists(of["items"], lambda i: model.accepts(i["s"]))
+    out = held.withColumn(new, F.when(F.col(cut)["masked"], marked).otherwise(whole))
     if "n_chars" in docs.columns:
-        same = F.col("__new").eqNullSafe(F.col("text"))
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("__new").cast(docs.schema["n_chars"].dataType)))
-    out = out.withColumn("text", F.col("__new"))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(changed, F.char_length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(new).alias("text") if name == "text" else c for c, name in zip(own, docs.columns, strict=True)))

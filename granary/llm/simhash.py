@@ -26,9 +26,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import texts
-from .common import Scratch, ship
+from .common import Scratch, chosen, column, ship, widened
 from .graph import connected_components
 
 SHINGLE = 3
@@ -206,18 +207,17 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for b in texts.small(batches, "__text"):
-            fps = np.fromiter(map(fingerprint, texts.raw(b.column("__text"))), np.uint64, b.num_rows)
-            own = [k for k in b.schema.names if k != "__text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), pa.array(fps.view(np.int64)), pa.array(np.arange(row, row + b.num_rows))], [*own, "__fp", "__row"])
+        for b in texts.small(batches, "text"):
+            fps = np.fromiter(map(fingerprint, texts.raw(b.column("text"))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("own"), b.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(np.arange(row, row + b.num_rows))], ["own", "doc_id", "fp", "row"])
             row += b.num_rows
 
     ship(docs.sparkSession)
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    rows = scratch.save(docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, f"{fields}, __fp long, __row long"), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row"))
-    unique = scratch.save(rows.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first")), "unique")
+    d = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("own"), "doc_id", F.col("text").cast("string").alias("text"))
+    rows = scratch.save(d.mapInArrow(run, widened(StructType(d.schema.fields[:2]), "fp long, row long")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    unique = scratch.save(rows.groupBy("fp").agg(first.alias("first")), "unique")
     labels = connected_components(links(unique, radius), scratch)
     keyed = unique.join(labels, unique["fp"] == labels["node"], "left").select("first", F.coalesce("label", "fp").alias("key"))
-    kept = keyed.groupBy("key").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = keyed.groupBy("key").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return chosen(rows, "row", scratch.save(kept, "kept"), "left_semi").select("own.*")
