@@ -8,10 +8,17 @@ same bytes, and record dates are those of the responses. Records stand for thems
 so a file of any of them in any order is a WARC file; ``write`` writes one gzip member
 for each record.
 
+All headers of the source, those of the record and those of HTTP, are in the metadata
+record in their order, repeated ones as often as they stand there. Chunked and
+compressed bodies are decoded before their text is taken.
+
 Defined results: a null page is an empty one; a null URL is the empty target; broken
-HTML is read as far as it goes; a record whose digest does not match its payload keeps
-the digest it states and is marked; repeated pages give repeated records with equal
-identifiers; an empty table gives none; other columns are not looked at.
+HTML is read as far as it goes, in time that grows with its length; a record whose
+digest does not match its payload keeps the digest it states and is marked; a null
+record, one that can't be read as WARC and one that is no HTTP response give a row of
+nulls; a body that can't be decoded is read as far as it goes; repeated pages give
+repeated records with equal identifiers; an empty table gives none; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,17 +62,36 @@ def _header(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
+def fields(head: bytes) -> list[tuple[str, str]]:
+    """Names and values of header lines, the first line left out; a line that begins with a blank goes on with the value before."""
+    out: list[tuple[str, str]] = []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        else:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def _by_name(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """First value of each name, in lower case."""
+    out: dict[str, str] = {}
+    for name, value in pairs:
+        out.setdefault(name.lower(), value)
+    return out
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and block of a record."""
+    """Headers (names in lower case, the first of repeated ones) and block of a record; ValueError if it is none."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    if not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    headers: dict[str, str] = {}
-    for line in lines[1:]:
-        name, _, value = line.partition(":")
-        headers[name.strip().lower()] = value.strip()
-    return headers, rest[: int(headers.get("content-length", len(rest)))]
+    headers = _by_name(fields(head))
+    size = int(headers.get("content-length", len(rest)))
+    if size < 0:
+        raise ValueError("a record of negative length")
+    return headers, rest[:size]
 
 
 def response(url: str, page: str) -> bytes:
@@ -79,15 +106,18 @@ def response(url: str, page: str) -> bytes:
     )
 
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\w[^>]*>?", re.S | re.I)
+# No pattern can fail after it has looked far ahead: what is not closed goes to the end of the page, so each is linear.
+_DROP = re.compile(r"<!--(?:.*?-->|.*)|<(script|style|template|noscript)\b(?:[^>]*>(?:.*?</\1\s*>|.*)|[^>]*)|<!\w[^>]*>?", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|head|body|html|blockquote|pre|hr|form|main|aside|dd|dt|dl|td|th)\b[^>]*>?", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^>]*>?")
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b(?:[^>]*>(.*?)(?:</title\s*>|\Z)|[^>]*\Z)", re.S | re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HTML = re.compile(r"<html\b([^>]*)", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
 
 
 def plain(page: str) -> str:
@@ -97,11 +127,41 @@ def plain(page: str) -> str:
     return _LINES.sub("\n", text).strip(" \n")
 
 
-def http(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and body of an HTTP response."""
     head, _, body = block.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    return lines[0], {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
+    return head.partition(b"\r\n")[0].decode("utf-8", "replace"), fields(head), body
+
+
+def _dechunked(body: bytes) -> bytes:
+    """A chunked body put together, as far as it can be read."""
+    out, at = [], 0
+    while True:
+        line_end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:line_end].partition(b";")[0], 16) if line_end >= 0 else 0
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(body[line_end + 2 : line_end + 2 + size])
+        at = line_end + 4 + size
+    return b"".join(out)
+
+
+def _unpacked(body: bytes, coding: str) -> bytes:
+    """A body of content coding gzip or deflate, as far as it can be read; of others as it is."""
+    kinds = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip().lower(), ())
+    for bits in kinds:
+        stream, out = zlib.decompressobj(bits), []
+        try:
+            for at in range(0, len(body), 1 << 16):
+                out.append(stream.decompress(body[at : at + (1 << 16)]))
+        except zlib.error:
+            if not out:
+                continue
+        return b"".join(out)
+    return body
 
 
 @dataclass
@@ -117,31 +177,45 @@ class Derived:
     n_links: int
 
 
-def derive(raw: bytes) -> Derived:
-    """The metadata and the conversion record of a response record."""
-    headers, block = parse(raw)
-    status, fields, body = http(block)
-    said = _CHARSET.search(fields.get("content-type", ""))
+def derive(raw: bytes | None) -> Derived | None:
+    """The metadata and the conversion record of a response record; None of anything else."""
+    try:
+        headers, block = parse(raw or b"")
+    except ValueError:
+        return None
+    if headers.get("warc-type", "response").lower() != "response" or not block.startswith(b"HTTP/"):
+        return None
+    status, sent, stored = http(block)
+    of = _by_name(sent)
+    body = _dechunked(stored) if "chunked" in of.get("transfer-encoding", "").lower() else stored
+    digests_ = {digest(stored), digest(body)}
+    for coding in reversed(of.get("content-encoding", "").split(",")):
+        body = _unpacked(body, coding)
+    said = _CHARSET.search(of.get("content-type", ""))
     try:
         page = body.decode(said[1] if said else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
     source, target, date = headers.get("warc-record-id", ""), headers.get("warc-target-uri", ""), headers.get("warc-date", DATE)
-    stated = headers.get("warc-payload-digest") or digest(body)
+    stated = headers.get("warc-payload-digest") or digest(stored)
     text = plain(page)
     title = _TITLE.search(page)
-    links = [a or b or c for a, b, c in _HREF.findall(page)]
-    lang = _LANG.search(page)
+    links = [m[1] or m[2] or m[3] or "" for a in _ANCHOR.finditer(page) if (m := _HREF.search(a[1]))]
+    html_ = _HTML.search(page)
+    lang = _LANG.search(html_[1]) if html_ else None
+    whole_title = title[1] if title else None
     shared = [("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)]
-    facts = [("http-status", status), ("source-content-type", fields.get("content-type", "")), ("source-block-digest", headers.get("warc-block-digest", "")), ("source-payload-digest", stated)]
-    facts += [("digest-verified", str(stated == digest(body)).lower()), ("title", plain(title[1]) if title else ""), ("lang", lang[1] if lang else ""), ("text-digest", digest(text.encode()))]
+    facts = [("http-status", status), ("source-content-type", of.get("content-type", "")), ("source-block-digest", headers.get("warc-block-digest", "")), ("source-payload-digest", stated)]
+    facts += [("digest-verified", str(stated in digests_).lower()), ("title", plain(whole_title) if whole_title else ""), ("lang", lang[1] if lang else ""), ("text-digest", digest(text.encode()))]
+    facts += [("source-warc-header", f"{k}: {v}") for k, v in fields(raw.partition(b"\r\n\r\n")[0])]
+    facts += [("source-http-header", f"{k}: {v}") for k, v in sent]
     facts += [("outlink", x) for x in links]
     notes = "".join(f"{k}: {_header(v)}\r\n" for k, v in facts).encode()
     written = text.encode("utf-8", "replace")
     meta_id, text_id = record_id("metadata", source, notes), record_id("conversion", source, written)
     meta = record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *shared, ("WARC-Concurrent-To", text_id), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", digest(notes))], notes)
     conv = record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *shared, ("WARC-Source-Payload-Digest", stated), ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Block-Digest", digest(written))], written)
-    return Derived(source, meta_id, meta, text_id, conv, text, stated, stated == digest(body), len(links))
+    return Derived(source, meta_id, meta, text_id, conv, text, stated, stated in digests_, len(links))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -161,7 +235,7 @@ _FIELDS = "refers_to string, metadata_id string, metadata binary, conversion_id
 
 
 def derivatives(records: DataFrame) -> DataFrame:
-    """page_id and the derived records of every response record (column record)."""
+    """page_id and the derived records of every record (column record); nulls for what is no response."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _FIELDS.split(", ")]
@@ -171,7 +245,7 @@ def derivatives(records: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 made = [derive(x.as_py()) for x in part.column("record")]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), *(pa.array([getattr(d, k) for d in made], t) for k, t in zip(names, types, strict=True))], ["page_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), *(pa.array([getattr(d, k) if d else None for d in made], t) for k, t in zip(names, types, strict=True))], ["page_id", *names])
 
     ship(records.sparkSession)
     kind = records.schema["page_id"].dataType.simpleString()
@@ -179,13 +253,14 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def digests(pages: DataFrame) -> DataFrame:
-    """Per page: identifiers and digests that link the response with its two derivatives."""
+    """Per page: the two derived records with the page's text, and the identifiers and digests that link them with the response."""
     made = derivatives(responses(pages))
     return made.select(
         "page_id", "refers_to", "metadata_id", "conversion_id", "payload_digest", "digest_ok", "n_links",
         F.char_length("text").cast("long").alias("text_chars"), F.sha2("text", 256).alias("text_sha256"),
         F.octet_length("metadata").cast("long").alias("metadata_bytes"), F.sha2("metadata", 256).alias("metadata_sha256"),
         F.octet_length("conversion").cast("long").alias("conversion_bytes"), F.sha2("conversion", 256).alias("conversion_sha256"),
+        "metadata", "conversion", "text",
     )
 
 
