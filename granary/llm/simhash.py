@@ -167,7 +167,8 @@ def links(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     tree, shards = [0], 1
     if n > shard:
         most = min(MOST_FIT, FIT * -(-n // shard))
-        sample = unique.orderBy(F.xxhash64("fp"), "fp").limit(most).toPandas()["fp"].to_numpy(np.int64)
+        below = int(min(1.0, 1.25 * most / n + 64 / n) * ((1 << 64) - 1)) - (1 << 63)  # so that no task sends many more than its share
+        sample = unique.where(F.xxhash64("fp") <= F.lit(below)).orderBy(F.xxhash64("fp"), "fp").limit(most).toPandas()["fp"].to_numpy(np.int64)
         tree, shards = fit(sample.view(np.uint64), max(16, len(sample) * shard // n), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
