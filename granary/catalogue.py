@@ -96,7 +96,7 @@ CASES: dict[str, tuple[str, str | None]] = {
     "cast_bool": ("SELECT (p_size > 10)::INTEGER AS a, (p_size > 10)::TEXT AS b FROM part", "SELECT (p_size > 10)::INTEGER AS a, (p_size > 10)::VARCHAR AS b FROM part"),
     "cast_text": ("SELECT (p_size::TEXT || '.75')::INTEGER AS a, (p_size::TEXT || '.5')::DOUBLE PRECISION AS b, CAST(p_size::TEXT AS BIGINT) AS c, 'oN'::BOOL AS d FROM part", "SELECT p_size AS a, p_size + 0.5::DOUBLE AS b, p_size::BIGINT AS c, true AS d FROM part"),
     "cast_timestamp": ("SELECT ts::TEXT AS a, '2021-03-04T05:06:07Z'::TIMESTAMP AS b FROM events", "SELECT regexp_replace(replace(ts::VARCHAR, ' ', 'T'), '(\\.\\d*?)0+$', '\\1') || 'Z' AS a, TIMESTAMP '2021-03-04 05:06:07' AS b FROM events"),
-    "cast_bytea": ("SELECT p_partkey, CAST(CAST('YXNkaW5l' AS BYTEA) AS TEXT) AS a FROM part", "SELECT p_partkey, base64(from_base64('YXNkaW5l')) AS a FROM part"),
+    "cast_bytea": ("SELECT p_partkey, CAST(CAST('Z3JhaW5z' AS BYTEA) AS TEXT) AS a FROM part", "SELECT p_partkey, base64(from_base64('Z3JhaW5z')) AS a FROM part"),
     "cast_null": ("SELECT NULL::INT AS a, NULL::TEXT AS b, NULL::BOOL AS c FROM region", "SELECT NULL::INT AS a, NULL::VARCHAR AS b, NULL::BOOLEAN AS c FROM region"),
     # -- functions
     "fn_typeof": (f"{_NULLABLE} SELECT k, typeof(a) AS x, typeof(p) AS y, typeof(s) AS z FROM t", f"SELECT k, CASE WHEN a IS NULL THEN 'null' ELSE 'bigint' END AS x, 'double precision' AS y, 'text' AS z FROM {_NULLABLE_SQL}"),
@@ -145,13 +145,13 @@ CASES: dict[str, tuple[str, str | None]] = {
     "union_chain": ("SELECT r_regionkey AS k FROM region UNION SELECT n_regionkey FROM nation UNION ALL SELECT r_regionkey FROM region", "(SELECT r_regionkey AS k FROM region UNION SELECT n_regionkey FROM nation) UNION ALL SELECT r_regionkey FROM region"),
     "union_promoted": ("SELECT n_nationkey AS k FROM nation UNION ALL SELECT c_acctbal FROM customer", "SELECT n_nationkey::DOUBLE AS k FROM nation UNION ALL SELECT c_acctbal FROM customer"),
     "order_asc": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey", "SELECT c_custkey, c_acctbal FROM customer"),
-    "order_desc_nulls_last": (f"{_NULLABLE} SELECT a FROM t ORDER BY a DESC LIMIT 100", f"SELECT a FROM {_NULLABLE_SQL} ORDER BY a DESC NULLS LAST LIMIT 100"),
-    "order_asc_nulls_first": (f"{_NULLABLE} SELECT a FROM t ORDER BY a LIMIT 100", f"SELECT a FROM {_NULLABLE_SQL} ORDER BY a NULLS FIRST LIMIT 100"),
-    "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_custkey DESC LIMIT 10", "SELECT c_name FROM customer ORDER BY c_custkey DESC LIMIT 10"),
-    "order_timestamp": ("SELECT event_id, ts FROM events ORDER BY ts LIMIT 50", "SELECT event_id, ts FROM events ORDER BY ts LIMIT 50"),
+    "order_desc_nulls_last": (f"{_NULLABLE} SELECT a FROM t ORDER BY a DESC", f"SELECT a FROM {_NULLABLE_SQL} ORDER BY a DESC NULLS LAST"),
+    "order_asc_nulls_first": (f"{_NULLABLE} SELECT a FROM t ORDER BY a", f"SELECT a FROM {_NULLABLE_SQL} ORDER BY a NULLS FIRST"),
+    "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_custkey DESC", "SELECT c_name FROM customer ORDER BY c_custkey DESC"),
+    "order_timestamp": ("SELECT event_id, ts FROM events ORDER BY ts", "SELECT event_id, ts FROM events ORDER BY ts"),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20"),
     "offset_only": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100"),
-    "scan_reverse": (f"{_COPY} SELECT k FROM t ORDER BY k DESC LIMIT 5", "SELECT o_orderkey AS k FROM orders ORDER BY o_orderkey DESC LIMIT 5"),
+    "scan_reverse": (f"{_COPY} SELECT k FROM t ORDER BY k DESC", "SELECT o_orderkey AS k FROM orders ORDER BY o_orderkey DESC"),
     "scan_range": (f"{_COPY} CREATE INDEX ON t (c, p DESC); SELECT k, c FROM t WHERE c >= 10 AND c < 20 AND p > 1000", "SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_custkey >= 10 AND o_custkey < 20 AND o_totalprice > 1000"),
     # -- changes
     "insert_values": ("CREATE TABLE t (a INT PRIMARY KEY, b TEXT, c DOUBLE PRECISION); INSERT INTO t VALUES (1, 'x', 1), (2, 'y', 2.5), (3, NULL, NULL); SELECT * FROM t", "SELECT * FROM (VALUES (1, 'x', 1::DOUBLE), (2, 'y', 2.5), (3, NULL, NULL)) v(a, b, c)"),

@@ -104,6 +104,20 @@ def _math(name: str, f: Callable[..., Column], outside: Callable[[Column], Colum
     return make
 
 
+def _by_character(text: Column, whole: Callable[[Column], Column], one: Callable[[Column], Column]) -> Column:
+    """``whole(text)``, but ``one`` of each character where some is beyond ASCII: no character becomes several, or looks at others."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(whole(text))
+
+
+def _upper(text: Column) -> Column:
+    single = lambda x: F.char_length(x) == 1
+    return _by_character(text, F.upper, lambda c: F.when(single(F.upper(c)), F.upper(c)).when(single(F.initcap(c)), F.initcap(c)).otherwise(c))
+
+
+def _lower(text: Column) -> Column:
+    return _by_character(text, F.lower, lambda c: F.left(F.lower(c), F.lit(1)))
+
+
 def _random() -> Value:
     """A whole number from 0 up, of 63 bits."""
     high, low = F.floor(F.rand() * (1 << 31)).cast("bigint"), F.floor(F.rand() * (1 << 32)).cast("bigint")
@@ -119,8 +133,8 @@ SCALARS: dict[str, Scalar] = {
     "typeof": Scalar(1, 1, _typeof),
     "len": Scalar(1, 1, _len),
     "coalesce": Scalar(1, None, _coalesce),
-    "lower": Scalar(1, 1, _case(F.lower)),
-    "upper": Scalar(1, 1, _case(F.upper)),
+    "lower": Scalar(1, 1, _case(_lower)),
+    "upper": Scalar(1, 1, _case(_upper)),
     "trim": Scalar(1, 2, _trim("both")),
     "ltrim": Scalar(1, 2, _trim("left")),
     "rtrim": Scalar(1, 2, _trim("right")),

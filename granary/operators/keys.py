@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER = "__n"
+#: With a character that separates nothing and that no table may use in a name.
+ORDER = "__n\u2063"
 
 
 def whole(key: Sequence[str]) -> Column:
@@ -67,8 +68,8 @@ def _extreme(batch: DataFrame, keys: Sequence[Sequence[str]], pick) -> DataFrame
     columns = batch.columns
     out = batch
     for i, key in enumerate(keys):
-        best = batch.filter(whole(key)).groupBy(*(F.col(f"`{k}`") for k in key)).agg(pick(ORDER).alias(f"__best{i}"))
-        out = out.join(best, list(key), "left").filter(F.col(f"__best{i}").isNull() | (F.col(f"__best{i}") == F.col(ORDER))).select(*columns)
+        best = batch.filter(whole(key)).groupBy(*(F.col(f"`{k}`") for k in key)).agg(pick(ORDER).alias(f"{ORDER}{i}"))
+        out = out.join(best, list(key), "left").filter(F.col(f"{ORDER}{i}").isNull() | (F.col(f"{ORDER}{i}") == F.col(ORDER))).select(*columns)
     return out
 
 

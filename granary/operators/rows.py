@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql import types as T
 
 _MOST = (1 << 31) - 1
@@ -96,13 +97,11 @@ def with_ordinals(df: DataFrame, name: str) -> DataFrame:
 
     ``df`` must give the same partitions each time, as a stored table does.
     """
-    placed = df.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__place"))
-    counts = placed.groupBy("__part").count().orderBy("__part").collect()  # one row per partition
-    begins, at = {}, 0
-    for r in counts:
-        begins[r["__part"]] = at
+    part, place, begin = (f"{name}\u2063{k}" for k in ("part", "place", "begin"))
+    placed = df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(place))
+    begins, at = [], 0
+    for r in placed.groupBy(part).count().orderBy(part).collect():  # one row per partition
+        begins.append((r[part], at))
         at += r["count"]
-    if not begins:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    begin = F.create_map(*(F.lit(x) for kv in begins.items() for x in kv))[F.col("__part")]
-    return placed.withColumn(name, (begin + F.col("__place")).cast("long")).drop("__part", "__place")
+    known = df.sparkSession.createDataFrame(begins, StructType([StructField(part, IntegerType()), StructField(begin, LongType())]))
+    return placed.join(F.broadcast(known), part).withColumn(name, F.col(begin) + F.col(place)).drop(part, place, begin)

@@ -77,6 +77,24 @@ class Target:
         names = {f"parts/{r[0]}" for r in wanted.select(at.alias("at")).distinct().collect()}  # as many as parts
         return [p for p in self.parts if p["path"] in names]
 
+    def holding_keys(self, batch: DataFrame, keys: list[list[str]], count: int | None) -> list[dict]:
+        """Parts in which some row shares a key with ``batch``."""
+        at = f"{k.ORDER}at"
+        old = self.read().withColumn(at, F.regexp_extract(F.input_file_name(), "parts/([0-9a-f]+)/", 1))
+        names = set()
+        for c in keys:
+            own = old.select(*(F.col(f"`{x}`") for x in c), at)
+            names |= {f"parts/{r[0]}" for r in k.within(own, batch, c, count).select(at).distinct().collect()}  # as many as parts
+        return [p for p in self.parts if p["path"] in names]
+
+    def without(self, held: list[dict], batch: DataFrame, keys: list[list[str]], count: int | None) -> DataFrame:
+        """The rows of ``held`` that share no key with ``batch``."""
+        own, lost = self.tx.storage.read(held, self.table.schema), None
+        for c in keys:
+            found = k.within(own, batch, c, count).select(*(F.col(f"`{x}`") for x in self.table.primary))
+            lost = found if lost is None else lost.union(found)
+        return k.without(own, lost, self.table.primary)
+
     def rewritten(self, held: list[dict], keep: DataFrame) -> list[dict]:
         """The table's parts with ``keep`` in place of ``held``."""
         rest = [p for p in self.parts if p not in held]
@@ -117,20 +135,15 @@ def insert(s: n.Insert, tx, ctx: Context) -> Planned | None:
         columns = [c for _, c in target.keys]
         numbered = staged if k.ORDER in staged.columns else rows.with_ordinals(staged, k.ORDER)
         if conflict == "nothing":
-            for c in columns if target.parts else []:
-                numbered = k.without(numbered, target.read(), c)
+            for c in columns if target.parts else []:  # only the table's keys that the batch has
+                numbered = k.without(numbered, k.within(target.read().select(*(F.col(f"`{x}`") for x in c)), numbered, c, count), c)
             numbered = k.first_wins(tx.save(numbered), columns, tx.save)
             parts = list(target.parts)
         else:
             parts = list(target.parts)
-            if parts:
-                old, lost = target.read(), None
-                for c in columns:
-                    found = k.within(old, numbered, c, count)
-                    lost = found if lost is None else lost.union(found)
-                keep = tx.save(k.without(old, lost, table.primary))
-                if keep.count() < sum(p["rows"] for p in parts):
-                    parts = target.rewritten(parts, keep)
+            held = target.holding_keys(numbered, columns, count) if parts else []
+            if held:
+                parts = target.rewritten(held, target.without(held, numbered, columns, count))
             numbered = k.last_wins(numbered, columns)
         final = tx.stage(numbered.select(*table.names), table.primary)
         tx.drop_later([part])
@@ -281,4 +294,6 @@ def delete(s: n.Delete, tx, ctx: Context) -> None:
     chosen = tx.save(plan(select, ctx).frame.toDF(*target.table.primary))
     if not chosen.limit(1).count():
         return
-    target.replace(target.rewritten(target.parts, k.without(table, chosen, target.table.primary)))
+    count, keys = chosen.count(), [target.table.primary]
+    held = target.holding_keys(chosen, keys, count)
+    target.replace(target.rewritten(held, target.without(held, chosen, keys, count)))

@@ -6,6 +6,7 @@ driver, one partition at a time, since a script is one stream.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from typing import TextIO
 
@@ -23,7 +24,11 @@ BATCH = 500
 
 def import_csv(connection: Connection, path: str, table: str) -> None:
     """Rows of a CSV file with a header. A table that does not exist is made of TEXT columns, with a numbered key."""
-    df = connection.db.spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    spark = connection.db.spark
+    # a file can be split at its lines unless a quoted field holds the end of one: then some line has an odd number of quotes
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=broken, escape='"')
     names = list(df.columns)
     held = connection.db.manifest if connection.tx is None else connection.tx.manifest
     if table.lower() not in held["tables"]:
@@ -115,8 +120,31 @@ def dump(connection: Connection, out: TextIO, tables: Iterable[str] = ()) -> Non
     out.write("COMMIT;\n")
 
 
+#: What a line may hold: texts, quoted names and comments, in which a semicolon ends nothing; a semicolon; anything else.
+_PART = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?P<open>['"`].*|/\*.*)|(?P<end>;)|[^'"`;/-]+|[/-]""", re.S)
+
+
+def statements(source: TextIO) -> Iterator[str]:
+    """The statements of a script, read line by line: no more than one is held."""
+    held, at = "", 0
+    for line in source:
+        held += line
+        while at < len(held):
+            m = _PART.match(held, at)
+            if m["open"] is not None:  # goes on in the next line
+                break
+            at = m.end()
+            if m["end"]:
+                yield held[:at]
+                held, at = held[at:], 0
+    if held.strip():
+        yield held
+
+
 def restore(connection: Connection, source: TextIO) -> None:
-    connection.execute(source.read())
+    """Runs a script statement by statement."""
+    for sql in statements(source):
+        connection.execute(sql)
 
 
 def save(connection: Connection, path: str) -> Database:

@@ -67,7 +67,7 @@ def of_spark(kind: T.DataType) -> str | None:
         return BIGINT
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return DOUBLE
-    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return TIMESTAMP
     if isinstance(kind, T.StringType):
         return TEXT

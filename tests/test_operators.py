@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary import operators as o
+from granary.operators import keys
 
 
 @pytest.fixture(scope="module")
@@ -72,7 +73,7 @@ def test_keys(df):
 
 
 def test_who_stays(spark):
-    batch = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 2, 2), (3, 3, 3), (3, None, 4)], "a int, b int, __n long")
+    batch = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 2, 2), (3, 3, 3), (3, None, 4)], f"a int, b int, `{keys.ORDER}` long")
     save = lambda df: df
     assert [r[2] for r in rows(o.first_wins(batch, [["a"]], save))] == [0, 2, 3]
     assert [r[2] for r in rows(o.first_wins(batch, [["a"], ["b"]], save))] == [0, 2, 3]

@@ -78,3 +78,28 @@ def test_shell(c, tmp_path):
 def test_bench(spark):
     got = cli.bench(granary.connect(spark), "SELECT * FROM t", 4, 2, "CREATE TABLE t (a INT PRIMARY KEY)", True, True)
     assert [x["totalQueries"] for x in got] == [2, 4]
+
+
+def test_scripts_are_read_by_statement():
+    import io
+
+    from granary.sources.transfer import statements
+
+    script = "SELECT 'a;b\nc'; -- not; this\nSELECT \"x;\" /* ;\n; */, 1 - 2 / 3;\n\nSELECT `q;`\n"
+    got = [x.strip() for x in statements(io.StringIO(script))]
+    assert got == ["SELECT 'a;b\nc';", "-- not; this\nSELECT \"x;\" /* ;\n; */, 1 - 2 / 3;", "SELECT `q;`"]
+
+
+def test_unknown_types_are_refused(spark):
+    from decimal import Decimal
+
+    import granary
+
+    db = granary.Database(spark)
+    df = spark.createDataFrame([(1, Decimal("1.5"))], "k int, d decimal(4, 2)").selectExpr("*", "DATE '2024-02-03' AS day")
+    with pytest.raises(granary.EngineError, match="d \\(decimal"):
+        db.register("t", df)
+    db.register("t", df, partly=True)
+    with db.connect() as c:
+        assert c.query("SELECT k, day::TEXT AS day FROM t").collect()[0]["day"] == "2024-02-03T00:00:00Z"
+    db.close()
