@@ -1,18 +1,22 @@
 """The registered queries of the engine, each with the SQL that DuckDB runs over the same tables.
 
 A query is a script of the dialect over whole tables; its last statement is the result.
-``CASES`` maps a name to (script, oracle); without an oracle the result is not
-reproducible (random values) or not a relation (plans).
+``CASES`` maps a name to (script, oracle); ``PROGRAMS`` are what takes more than one script.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .session import Connection, Database
+from .sources import transfer
+from .sources.storage import own_root
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "pages", "conversations")
 
@@ -116,8 +120,8 @@ CASES: dict[str, tuple[str, str | None]] = {
     "fn_atan": ("SELECT floor(atan(l_quantity) * 1000000) AS a FROM lineitem", "SELECT floor(atan(l_quantity) * 1000000) AS a FROM lineitem"),
     "fn_atan2": ("SELECT floor(atan2(l_quantity, l_linenumber) * 1000000) AS a FROM lineitem", "SELECT floor(atan2(l_quantity, l_linenumber) * 1000000) AS a FROM lineitem"),
     "fn_sqrt": ("SELECT sqrt(l_quantity) AS a, sqrt(l_linenumber) AS b, sqrt(l_orderkey) AS c FROM lineitem", "SELECT sqrt(l_quantity) AS a, sqrt(l_linenumber) AS b, CAST(NULL AS DOUBLE) AS c FROM lineitem"),
-    "fn_random": ("SELECT n_nationkey, random() AS a FROM nation", None),
-    "fn_now": ("SELECT n_nationkey, now() AS a FROM nation", None),
+    "fn_random": ("SELECT r_regionkey, random() >= 0 AS a, typeof(random()) AS b FROM region", "SELECT r_regionkey, true AS a, 'bigint' AS b FROM region"),
+    "fn_now": ("SELECT r_regionkey, now() = now() AS a, typeof(now()) AS b FROM region", "SELECT r_regionkey, true AS a, 'timestamp' AS b FROM region"),
     "fn_nextval": ("CREATE SEQUENCE q START WITH 5 INCREMENT BY 10; SELECT nextval('q') AS a, nextval('q') AS b", "SELECT 5::BIGINT AS a, 15::BIGINT AS b"),
     # -- aggregates, groups
     "agg_flagship": (
@@ -156,7 +160,7 @@ CASES: dict[str, tuple[str, str | None]] = {
     # -- changes
     "insert_values": ("CREATE TABLE t (a INT PRIMARY KEY, b TEXT, c DOUBLE PRECISION); INSERT INTO t VALUES (1, 'x', 1), (2, 'y', 2.5), (3, NULL, NULL); SELECT * FROM t", "SELECT * FROM (VALUES (1, 'x', 1::DOUBLE), (2, 'y', 2.5), (3, NULL, NULL)) v(a, b, c)"),
     "insert_select": (f"{_COPY} SELECT * FROM t", _COPY_SQL),
-    "insert_by_name": ("CREATE TABLE t (x TEXT, k INT PRIMARY KEY); INSERT INTO t SELECT n_nationkey AS k, n_name AS x FROM nation; SELECT * FROM t", "SELECT n_name AS x, n_nationkey AS k FROM nation"),
+    "insert_by_name": ("CREATE TABLE t (x TEXT, k INT PRIMARY KEY); INSERT INTO t (k) SELECT n_nationkey AS k, n_name AS x FROM nation; SELECT * FROM t", "SELECT n_name AS x, n_nationkey AS k FROM nation"),
     "insert_conflict_nothing": (
         f"{_COPY} INSERT INTO t (k, c, s, p) SELECT o_orderkey * 2, 0, 'new', 0 FROM orders ON CONFLICT DO NOTHING; SELECT * FROM t",
         f"{_COPY_SQL} UNION ALL SELECT o_orderkey * 2, 0, 'new', 0 FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)",
@@ -193,8 +197,12 @@ CASES: dict[str, tuple[str, str | None]] = {
     "reindex": (f"{_COPY} CREATE UNIQUE INDEX u ON t (k, c); REINDEX t; SELECT COUNT(*) AS n FROM t", "SELECT count(*) AS n FROM orders"),
     "transaction_rollback": (f"{_COPY} BEGIN; DELETE FROM t; ROLLBACK; SELECT COUNT(*) AS n FROM t", "SELECT count(*) AS n FROM orders"),
     "transaction_commit": (f"{_COPY} BEGIN TRANSACTION; DELETE FROM t WHERE s = 'F'; UPDATE t SET p = 0; COMMIT; SELECT * FROM t", f"SELECT k, c, s, 0::DOUBLE AS p FROM ({_COPY_SQL}) WHERE s <> 'F'"),
-    "explain_select": ("EXPLAIN SELECT l_returnflag, COUNT(*) FROM lineitem WHERE l_linenumber <= 2 + 2 AND l_quantity > 10 GROUP BY l_returnflag", None),
-    "explain_insert": ("CREATE TABLE t (a INT PRIMARY KEY); EXPLAIN INSERT INTO t (a) VALUES (1)", None),
+    "drop_table": ("CREATE TABLE t (a INT PRIMARY KEY); CREATE TABLE u (a INT PRIMARY KEY, b INT); CREATE INDEX i ON u (b); CREATE SEQUENCE q; DROP TABLE t; DROP INDEX i; DROP SEQUENCE q; DROP TABLE IF EXISTS none; SELECT name, type FROM __catalog", "SELECT 'u' AS name, 'table' AS type"),
+    "scan_range_composite": ("CREATE TABLE t (a BIGINT, b BIGINT, q DOUBLE PRECISION, PRIMARY KEY (a, b)); INSERT INTO t (a, b, q) SELECT o_custkey, o_orderkey, o_totalprice FROM orders; SELECT * FROM t WHERE a = 7 AND b > 100", "SELECT o_custkey AS a, o_orderkey AS b, o_totalprice AS q FROM orders WHERE o_custkey = 7 AND o_orderkey > 100"),
+    "insert_from_rows": ("CREATE TABLE t (a INT PRIMARY KEY, b INT); INSERT INTO t VALUES (1, 2), (3, 4); INSERT INTO t VALUES (1, 5), (6, 7) ON CONFLICT DO NOTHING; INSERT INTO t VALUES (3, 8), (9, 9) ON CONFLICT DO REPLACE; SELECT * FROM t", "SELECT * FROM (VALUES (1, 2), (3, 8), (6, 7), (9, 9)) v(a, b)"),
+    "fn_case_by_character": ("SELECT p_partkey, upper('straße ' || p_name) AS a, lower('ÉÑ ' || p_name) AS b FROM part", "SELECT p_partkey, 'STRAßE ' || upper(p_name) AS a, 'éñ ' || lower(p_name) AS b FROM part"),
+    "explain_select": ("EXPLAIN SELECT l_returnflag, COUNT(*) FROM lineitem WHERE l_linenumber <= 2 + 2 AND l_quantity > 10 GROUP BY l_returnflag", "SELECT 'table.Scan(\"lineitem\") | rows.Filter(l_linenumber <= 4) | rows.Filter(l_quantity > 10) | rows.GroupAggregate(l_returnflag, COUNT(*)) | rows.Project(l_returnflag, COUNT(*))' AS plan"),
+    "explain_insert": ("CREATE TABLE t (a INT PRIMARY KEY); EXPLAIN INSERT INTO t (a) VALUES (1)", "SELECT 'rows.Emit((1)) | table.Validate(\"t\") | table.GenerateKey(\"t\") | table.Insert(\"t\") | discard()' AS plan"),
 }
 
 #: Queries with parameters: script, values, oracle.
@@ -204,11 +212,122 @@ PARAMETERS: dict[str, tuple[str, tuple, str]] = {
 }
 
 
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as CSV (one field with quotes and a line end) and imported."""
+    path = f"{own_root(spark)}/nation.csv"
+    name = F.concat(F.lit('"'), F.col("n_name"), F.lit(',\n"'))
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", name.alias("n_name")).write.csv(path, header=True, escape='"')
+    c = Database(spark).connect()
+    transfer.import_csv(c, path, "t")
+    return c.query("SELECT n_nationkey, n_name FROM t")
+
+
+_PEOPLE = "CREATE SEQUENCE q; CREATE TABLE t (k BIGINT PRIMARY KEY, s TEXT UNIQUE, d DOUBLE PRECISION, b BOOL); CREATE INDEX i ON t (d); INSERT INTO t (k, s, d, b) SELECT c_custkey, c_name, c_acctbal, c_acctbal > 0 FROM customer;"
+_PEOPLE_SQL = "SELECT c_custkey AS k, c_name AS s, c_acctbal AS d, c_acctbal > 0 AS b FROM customer"
+
+
+def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table dumped as a script and restored from it elsewhere."""
+    c, out = open_tables(spark, sf_dir, ("customer",)), io.StringIO()
+    c.execute(_PEOPLE)
+    transfer.dump(c, out)
+    other = Database(spark).connect()
+    transfer.restore(other, io.StringIO(out.getvalue()))
+    return other.query("SELECT * FROM t")
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database copied to a path and opened from it."""
+    c, path = open_tables(spark, sf_dir, ("customer",)), own_root(spark)
+    c.execute(_PEOPLE)
+    transfer.save(c, path)
+    return Database(spark, path).connect().query("SELECT * FROM t")
+
+
+def _reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence goes on where it was when its database is opened again."""
+    path = own_root(spark)
+    for first in (0, 10):
+        db = Database(spark, path)
+        c = db.connect()
+        if not first:
+            c.execute("CREATE SEQUENCE q START WITH 5 INCREMENT BY 2; CREATE TABLE t (k INT PRIMARY KEY, v BIGINT DEFAULT nextval('q'))")
+        c.execute(f"INSERT INTO t (k) VALUES ({first}), ({first + 1})")
+        db.close()
+    return Database(spark, path).connect().query("SELECT COUNT(*) AS n, COUNT(v) AS given, MIN(v) AS lo FROM t")
+
+
+def _isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader counts before a writer begins, while it writes, and after its commit."""
+    db = open_tables(spark, sf_dir, ("nation",)).db
+    writer, reader = db.connect(), db.connect()
+    count = lambda: reader.query("SELECT COUNT(*) AS n FROM t").head()["n"]
+    writer.execute("CREATE TABLE t (k INT PRIMARY KEY)")
+    seen = [count()]
+    writer.execute("BEGIN; INSERT INTO t (k) SELECT n_nationkey FROM nation")
+    seen.append(count())
+    writer.execute("COMMIT")
+    seen.append(count())
+    return spark.createDataFrame([(i, n) for i, n in enumerate(seen)], "step int, n long")
+
+
+#: Statements that are refused, and the kind of error.
+REFUSED = {
+    "SELECT none FROM nation": "BindError", "SELECT n_name FROM nowhere": "NotFound", "SELECT": "ParseError", "SELECT * FROM nation UNION SELECT r_name FROM region": "BindError",
+    "SELECT DISTINCT n_name FROM nation ORDER BY n_nationkey": "BindError", "SELECT n_name, COUNT(*) FROM nation": "BindError", "CREATE TABLE nation2 (a INT)": "BindError",
+    "INSERT INTO u VALUES (1, 1)": "ConstraintViolation", "INSERT INTO u VALUES (NULL, 1)": "ConstraintViolation", "INSERT INTO u VALUES (2, -1)": "ConstraintViolation", "CREATE TABLE u (a INT PRIMARY KEY)": "AlreadyExists",
+    "INSERT INTO u (none) VALUES (1)": "BindError", "DROP TABLE nowhere": "NotFound", "COMMIT": "TransactionError", "SELECT nextval('none')": "NotFound",
+}
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = open_tables(spark, sf_dir, ("nation", "region"))
+    c.execute("CREATE TABLE u (a INT PRIMARY KEY, b INT CHECK (b > 0)); INSERT INTO u VALUES (1, 1)")
+    out = []
+    for sql in REFUSED:
+        try:
+            result = c.execute(sql)
+            if result.frame is not None:
+                result.frame.collect()
+            out.append((sql, "none"))
+        except EngineError as e:
+            out.append((sql, type(e).__name__))
+    return spark.createDataFrame(out, "statement string, error string")
+
+
+def _shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a script of statements, as from standard input, and of shell commands."""
+    from .cli import Shell, run_script
+
+    c, out = open_tables(spark, sf_dir, ("region",)), io.StringIO()
+    run_script(c, "CREATE TABLE t (k INT PRIMARY KEY, s TEXT); CREATE INDEX i ON t (s); INSERT INTO t (k, s) SELECT r_regionkey, r_name FROM region; SELECT k, s FROM t ORDER BY k; SELECT COUNT(*) AS n FROM t", out)
+    shell = Shell(c, out)
+    for line in (".tables", ".indexes t"):
+        shell.command(line)
+    return spark.createDataFrame(list(enumerate(out.getvalue().split("\n"))), "at int, line string")
+
+
+#: What takes more than one script: function and oracle.
+PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "csv_import": (_csv, "SELECT n_nationkey::VARCHAR AS n_nationkey, '\"' || n_name || ',' || chr(10) || '\"' AS n_name FROM nation"),
+    "dump_restore": (_dumped, _PEOPLE_SQL),
+    "save_copy": (_saved, _PEOPLE_SQL),
+    "sequence_reopened": (_reopened, "SELECT 4::BIGINT AS n, 4::BIGINT AS given, 5::BIGINT AS lo"),
+    "snapshot_readers": (_isolated, "SELECT * FROM (VALUES (0, 0::BIGINT), (1, 0), (2, (SELECT count(*) FROM nation))) v(step, n)"),
+    "typed_errors": (_refused, "SELECT * FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in REFUSED.items()) + ") v(statement, error)"),
+    "shell_script": (_shell, """
+        WITH body AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS i, r_regionkey || '|"' || r_name || '"' AS line FROM region), n AS (SELECT count(*) AS n FROM region)
+        SELECT 0 AS at, 'k|s' AS line UNION ALL SELECT i::INTEGER, line FROM body UNION ALL SELECT (n + 1 + x.i)::INTEGER, replace(x.line, '#', n::VARCHAR) FROM n, (VALUES (0, ''), (1, 'n'), (2, '#'), (3, 't'), (4, 'i'), (5, '')) x(i, line)"""),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = lambda script, params: lambda spark, sf_dir: run(spark, sf_dir, script, *params)
     out = {name: made(script, ()) for name, (script, _) in CASES.items()}
-    return out | {name: made(script, params) for name, (script, params, _) in PARAMETERS.items()}
+    out |= {name: made(script, params) for name, (script, params, _) in PARAMETERS.items()}
+    return out | {name: program for name, (program, _) in PROGRAMS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: o for k, (_, o) in CASES.items() if o is not None} | {k: o for k, (_, _, o) in PARAMETERS.items()}
+    out = {k: o for k, (_, o) in CASES.items() if o is not None} | {k: o for k, (_, _, o) in PARAMETERS.items()}
+    return out | {k: o for k, (_, o) in PROGRAMS.items()}
