@@ -72,8 +72,12 @@ def chosen(df: DataFrame, key: str, rows: DataFrame, how: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _OWN_ROOT
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where all run on this machine (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return shared or _OWN_ROOT
 
 
 def ship(spark: SparkSession) -> None:
