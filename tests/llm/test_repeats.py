@@ -143,3 +143,12 @@ def test_empty_table(spark):
     df = frame(spark, []).limit(0)
     assert substring.digests(df).count() == 0
     assert suffix.digests(df).count() == 0
+
+
+def test_the_textbook_form_of_prefix_doubling(spark):
+    texts = overlapping(4, 30)
+    df = frame(spark, texts).repartition(3)
+    docs = [(i + 1, t) for i, t in enumerate(texts)]
+    assert got(suffix.digests(df, suffix.by_sorting)) == expect_bytes(docs)
+    twice = spark.createDataFrame([(1, "a" * 60), (1, "a" * 60), (None, "a" * 60), (2, None)], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in suffix.digests(twice, suffix.by_sorting).collect()), key=str) == [(1, 0), (1, 0), (2, 0), (None, 60)]
