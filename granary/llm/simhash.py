@@ -10,8 +10,10 @@ fingerprints in the same way down to small blocks, which are compared exactly.
 Within a block links become a spanning tree, never all pairs.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any
-other; repeated rows and repeated ids stay; a null doc_id never becomes a component
-id unless no other is reachable; an empty table gives an empty result.
+other; texts of any length are read whole, in pieces; repeated rows and repeated ids
+stay; a null doc_id never becomes a component id unless no other is reachable; other
+columns, whatever their names, are not looked at, or stay (``keep_one``); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ words (see ``repeats``).
 
 Defined results: words are runs of other than ASCII white space, unchanged; a null or
 empty text has none; of repeated rows of one id none is smaller, so none goes for the
-other; a null id is larger than any; an empty table gives an empty result; other
+other; a null id is larger than any (2^63 - 1 counts as null); texts of any length are
+searched whole; an empty table gives an empty result; other
 columns are not looked at.
 """
 

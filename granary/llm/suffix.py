@@ -1,16 +1,17 @@
-"""Substring de-duplication over bytes by distributed prefix doubling.
+"""Substring de-duplication over bytes by prefix doubling.
 
-The ranks of positions double in length: at 1, 2, 4, ... 32 bytes each task makes them
-by itself, since ranks are mixes and need no common numbering. From ``SEED`` bytes on,
-Spark sorts pairs of ranks and documents in buckets, and only positions whose rank is
-not unique to one document go on to the next length: first the winnowed positions at
-``SEED`` bytes together with their whole contexts, then single positions at ``LENGTH``
-bytes, the threshold (see ``repeats``). Sorting every position at every length is the
-textbook form; it would move some 20 bytes for each byte of text and round.
+``by_sorting`` is the textbook form: ranks of all positions by Spark's sort, round by
+round. It moves over a hundred times its input (figures in the README), so the query
+uses ``deduplicated``, which keeps the doubling but not the sort of all positions: the
+ranks at 1, 2, 4, ... 32 bytes are 64-bit mixes made in each task, which need no common
+numbering, only winnowed positions at ``SEED`` bytes with their contexts meet those of
+other documents, and only where contexts part do single positions at ``LENGTH`` bytes,
+the threshold (see ``repeats``). Both are held against brute force and each other.
 
 Defined results: texts are UTF-8 bytes; a null text is empty; matches never cross
 documents; of repeated rows of one id none is smaller, so none goes for the other; a
-null id is larger than any; an empty table gives an empty result; other columns are
+null id is larger than any (2^63 - 1 counts as null); texts of any length are
+searched whole; an empty table gives an empty result; other columns are
 not looked at.
 """
 
