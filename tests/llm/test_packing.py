@@ -71,6 +71,14 @@ def test_repeats_clashes_and_empty(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_order_of_rows_alone_decides(spark):
+    rows = [(i % 290, prose(i, 20 + i % 70) if i % 9 else None, "en", "hot" if i % 3 else f"s{i % 7}", None) for i in range(600)] + [(None, "x y", None, None, None)] * 3
+    df = spark.createDataFrame(rows, DOCS)
+    one, two, three = (sorted(map(tuple, packing.pack(packing.ordered(d)).collect()), key=str) for d in (df.repartition(3), df.repartition(7, "n_chars", "text"), df.orderBy("text").coalesce(1)))
+    assert len(one) >= 603 and one == two == three
+    assert packing.pack(packing.ordered(df.limit(0))).count() == 0
+
+
 def test_more_sources_than_queues(spark, monkeypatch):
     monkeypatch.setattr(packing, "QUEUES", 4)
     rows = [(i, prose(i, 30), "en", f"s{i % 30}", None) for i in range(200)]
