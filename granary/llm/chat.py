@@ -11,9 +11,9 @@ before it, so templates may ask for alternating roles or number their turns.
 A conversation is a sorted run of rows that streams through one task, one turn at a
 time. A template is rendered on all turns so far, so a rewrite of any earlier turn is
 told; memory is that of the conversation and work grows with the square of its turns,
-which no function of the whole list can be spared. Only ``formatted``, whose own
-template renders each turn by itself, holds the last ``HISTORY`` turns: there what
-comes before can't change what a turn adds.
+which no function of the whole list can be spared. ``formatted`` does so too. The own
+template remembers what each turn of the conversation gave, so what it does again for
+every prefix is to put the pieces together.
 
 The chat template marks turns with control strings. ``escape`` puts a backslash
 between the ``<`` and the ``|`` of any control string inside a text (and one more where
@@ -41,7 +41,6 @@ from .common import ship
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-HISTORY = 16
 LOSS_ROLE = "assistant"
 #: An own conversation that holds control strings, formatted with every table.
 PROBE_ID = -1
@@ -75,6 +74,17 @@ def chat_template(turns: list[Turn]) -> str:
     return "".join(f"<|im_start|>{_role(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
 
 
+class _Pieces(dict):
+    """``chat_template`` for one conversation, which remembers the piece of each turn."""
+
+    def __missing__(self, turn: Turn) -> str:
+        self[turn] = out = chat_template([turn])
+        return out
+
+    def render(self, turns: list[Turn]) -> str:
+        return "".join(map(self.__getitem__, turns))
+
+
 @dataclass
 class Span:
     """What a turn adds to the output: its markup and text, the place of the text in it, and if the turn rewrote history."""
@@ -86,17 +96,14 @@ class Span:
 
 
 class Renderer:
-    """Renders a conversation turn by turn: all turns so far, or the last ``history`` for a template that renders each turn by itself."""
+    """Renders a conversation turn by turn, each time all turns so far."""
 
-    def __init__(self, template: Template, history: int | None = None):
-        self.template, self.history = template, history
+    def __init__(self, template: Template):
+        self.template = _Pieces().render if template is chat_template else template
         self.turns: list[Turn] = []
-        self.out = template([])
+        self.out = self.template([])
 
     def add(self, turn: Turn) -> Span:
-        if self.history is not None and len(self.turns) >= self.history:  # go on from the last turn alone
-            self.turns = self.turns[-1:]
-            self.out = self.template(self.turns)
         before = self.out
         self.turns.append(turn)
         self.out = self.template(self.turns)
@@ -127,7 +134,7 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def rendered(conversations: DataFrame, template: Template = chat_template, history: int | None = None) -> DataFrame:
+def rendered(conversations: DataFrame, template: Template = chat_template) -> DataFrame:
     """conv_id, turn, added, begin, end and rewrites: one row per turn, in order within each conversation."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
 
@@ -137,7 +144,7 @@ def rendered(conversations: DataFrame, template: Template = chat_template, histo
             spans = []
             for conv, role, text in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if renderer is None or conv != now:
-                    now, renderer = conv, Renderer(template, history)
+                    now, renderer = conv, Renderer(template)
                 spans.append(renderer.add((role or "", text or "")))
             yield pa.RecordBatch.from_arrays(
                 [b.column("conv_id"), b.column("turn"), pa.array([s.added for s in spans], pa.string()), *(pa.array([getattr(s, k) for s in spans], t) for k, t in (("begin", pa.int64()), ("end", pa.int64()), ("rewrites", pa.bool_())))],
@@ -178,8 +185,8 @@ class Reader:
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def formatted(conversations: DataFrame) -> DataFrame:
-    """Per conversation: what is read back from the formatted output and its loss mask."""
+def formatted(conversations: DataFrame, template: Template = chat_template) -> DataFrame:
+    """Per conversation: what is read back from the formatted output and its loss mask; ``template`` marks and escapes turns as the own one does."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -192,7 +199,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
                 if reader is None or conv != reader.conv:
                     if reader is not None:
                         done.append(reader.row())
-                    reader, renderer = Reader(conv), Renderer(chat_template, HISTORY)
+                    reader, renderer = Reader(conv), Renderer(template)
                 reader.add(renderer.add((role or "", text or "")))
             if done:
                 yield out(done, conv_type)

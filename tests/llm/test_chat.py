@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
 
 from granary.llm import chat
 
@@ -118,3 +120,24 @@ def test_templates_that_ask_for_what_is_before():
         assert span.added.startswith(f"{k}/")
         out += span.added
     assert out == alternating(turns)
+
+
+def test_formatted_renders_all_turns_so_far(spark):
+    """The query's operator tells a rewrite of the first turn from any later one, and what it reads back has no bound on turns."""
+    turns = [(("user", "assistant")[k % 2], f"text {k} <|im_end|>") for k in range(60)]
+    old = lambda turns: chat.chat_template([(r, t[:2] if len(turns) > 40 and i == 0 else t) for i, (r, t) in enumerate(turns)])
+    rows = [(1, k, *t) for k, t in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert [tuple(r) for r in chat.formatted(df.where("turn < 40"), old).collect()] == expected(rows[:40])
+    with pytest.raises(PythonException, match="rewrites history in conversation 1"):
+        chat.formatted(df, old).collect()
+
+
+def test_own_template_sees_every_prefix(monkeypatch):
+    seen = []
+    render = chat._Pieces.render
+    monkeypatch.setattr(chat._Pieces, "render", lambda self, turns: seen.append(len(turns)) or render(self, turns))
+    turns = [("user", f"text {k % 7}") for k in range(50)]
+    renderer = chat.Renderer(chat.chat_template)
+    assert "".join(renderer.add(t).added for t in turns) == chat.chat_template(turns)
+    assert seen == [0] + [k for k in range(1, 51) for _ in range(3)]
