@@ -69,6 +69,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def of_sets(of: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of ``n`` sets of shingle hashes (their numbers, sorted, and hashes); that of an empty set is zero."""
+    out, size = np.zeros(n, np.uint64), np.bincount(of, minlength=n)
+    own = np.flatnonzero(size)
+    if len(own):
+        begin = (np.cumsum(size) - size)[own]
+        for bit in map(np.uint64, range(64)):
+            ones = np.add.reduceat(((x >> bit) & np.uint64(1)).astype(np.uint32), begin)
+            out[own] |= (2 * ones.astype(np.int64) > size[own]).astype(np.uint64) << bit
+    return out
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) for every row."""
 
@@ -189,6 +201,17 @@ def links(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return spread.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
+def stars(rows: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """(a, b) of ``rows`` (row, fp): each row whose fingerprint reaches that of a lesser row, with the least row it reaches."""
+    found = scratch.save(links(rows.select("fp").distinct(), radius), "reached")
+    keyed = rows.select("row", "fp", F.col("fp").alias("key"))
+    if found.limit(1).count():
+        labels = connected_components(found, Scratch(rows.sparkSession))
+        keyed = rows.join(labels, rows["fp"] == labels["node"], "left").select("row", "fp", F.coalesce("label", "fp").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return keyed.join(least, "key").where("row <> a").select("a", F.col("row").alias("b"))
+
+
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession)

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from granary.llm import jaccard
+from granary.llm import jaccard, simhash
+from granary.llm.common import Scratch
 
 from .fixtures import DOCS, SF, frame, overlapping, prose
 
@@ -113,3 +114,32 @@ def test_counts_of_chunks_are_those_of_all():
         kinds = jaccard._classes(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
         seen |= dict(zip(np.concatenate([p[0] for p in parts]).tolist(), kinds.tolist(), strict=True))
     assert seen == want
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (0, 1, 2, 0, 37, 500, 0)]
+    got = simhash.of_sets(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets))
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in x) > len(x)) for x in sets]
+    assert got.tolist() == want
+
+
+def test_the_stage_goes_through_the_tree(spark, monkeypatch):
+    """What the tree links needs no shingles in common buckets; what it can't reach is found all the same."""
+    long = [prose(200 + i, 3000) for i in range(3)]
+    texts = [*long, *(edited(t, 300 + i, 1) for i, t in enumerate(long)), prose(210, 400), edited(prose(210, 400), 310, 6)]
+    rows, df = [(i + 1, t) for i, t in enumerate(texts)], frame(spark, texts)
+    asked, links, entries = [], simhash.links, jaccard.entries
+    monkeypatch.setattr(simhash, "links", lambda unique, radius: asked.append(radius) or links(unique, radius))
+    assert kept(rows) == [1, 2, 3, 7] == sorted(r["doc_id"] for r in stage(spark, df).collect())
+    assert asked == [simhash.RADIUS]
+    monkeypatch.setattr(jaccard, "entries", lambda docs, scratch: entries(docs.limit(0), scratch))
+    assert sorted(r["doc_id"] for r in stage(spark, df).collect()) == [1, 2, 3, 7, 8]
+
+
+def test_the_tree_links_only_what_is_alike(spark):
+    a, b, c = prose(220, 100), edited(prose(220, 100), 320, 1), prose(221, 100)
+    rows = [(r, len(plain(t)), t, fp) for r, t, fp in ((1, a, 5), (2, b, 4), (3, c, 5), (4, prose(222, 100), 1 << 40), (5, "", 5))]
+    df = spark.createDataFrame(rows, "row long, n long, text string, fp long")
+    found = jaccard.by_tree(df.select("row", "fp"), df, Scratch(spark))
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
