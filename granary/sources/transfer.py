@@ -1,12 +1,13 @@
 """In and out of a database: CSV files, SQL scripts, copies.
 
 Rows become text or are read from it by Spark; only a dump's lines pass through the
-driver, one partition at a time, since a script is one stream.
+driver, one partition or one statement at a time, since a script is one stream.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import TextIO
 
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog, types
-from ..errors import BindError
-from ..plans.lexer import KEYWORDS
+from ..errors import BindError, EngineError
+from ..plans.lexer import KEYWORDS, tokens
 from ..session import Connection, Database
 
 #: Rows of one INSERT in a dump.
@@ -97,7 +98,7 @@ def data_lines(df: DataFrame, table: catalog.Table) -> Iterator[str]:
     row = F.concat(F.lit("("), F.concat_ws(", ", *(_literal(F.col(f"`{c['name']}`"), c["type"]) for c in table.columns)), F.lit(")"))
     head = f"INSERT INTO {_quoted(table.name)} VALUES "
     held: list[str] = []
-    for r in df.select(row.alias("line")).toLocalIterator():
+    for r in df.select(row.alias("line")).toLocalIterator(prefetchPartitions=True):
         held.append(r["line"])
         if len(held) == BATCH:
             yield head + ", ".join(held) + ";"
@@ -141,10 +142,109 @@ def statements(source: TextIO) -> Iterator[str]:
         yield held
 
 
+#: The literals that ``dump`` writes, by type, as both Python and Java read them. Others are left to the parser.
+_LITERALS = {
+    types.BOOLEAN: "true|false",
+    types.INTEGER: "-?[0-9]{1,10}",
+    types.BIGINT: "-?[0-9]{1,19}",
+    types.DOUBLE: r"-?[0-9]++(?:\.[0-9]*+(?:[eE][-+]?[0-9]++)?|[eE][-+]?[0-9]++)|-?[0-9]{1,15}",
+    types.TEXT: r"""'(?:[^'\\\r\n]++|\\[nrt'"\\])*+'""",
+    types.TIMESTAMP: r"'[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?Z'",
+    types.BYTEA: r"'\\x(?:[0-9a-fA-F]{2})*+'",
+}
+_ANY_LITERAL = r"""'(?:[^'\\]++|\\.)*+'|[^'(), ]++"""
+_HEAD = re.compile(r"""INSERT INTO ([A-Za-z_][A-Za-z0-9_]*|"(?:[^"\\]|\\.)*") VALUES (?=\()""")
+
+
+def _row(table: catalog.Table) -> str:
+    """A pattern of one row of literals of the table's types."""
+    return r"\(" + ", ".join(f"(?:NULL|{_LITERALS[c['type']]})" for c in table.columns) + r"\)"
+
+
+def _value(literal: Column, kind: str) -> Column:
+    """The value of a literal of ``_LITERALS``; that of a timestamp stays a text, which INSERT casts."""
+    body = F.substring(literal, F.lit(2), F.char_length(literal) - 2)
+    if kind in (types.TEXT, types.TIMESTAMP):
+
+        def plain(piece: Column) -> Column:  # between escaped backslashes, any other one begins an escape
+            for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"')):
+                piece = F.replace(piece, F.lit(a), F.lit(b))
+            return piece
+
+        out = F.when(body.contains("\\"), F.array_join(F.transform(F.split(body, r"\\\\"), plain), "\\")).otherwise(body)
+    elif kind == types.BYTEA:
+        out = F.unhex(F.substring(body, F.lit(3), F.char_length(body)))
+    elif kind == types.DOUBLE:
+        out = F.when(literal.rlike("^-?[0-9]+$"), literal.try_cast("bigint").cast("double")).otherwise(literal.try_cast("double"))
+    else:
+        out = literal.cast(types.SPARK[kind])
+    return F.when(literal != "NULL", out)
+
+
+class _Script:
+    """Statements of a script, of which the next can be looked at."""
+
+    def __init__(self, source: TextIO):
+        self.left = statements(source)
+        self.next = next(self.left, None)
+
+    def take(self) -> str:
+        out, self.next = self.next, next(self.left, None)
+        return out
+
+    def rows(self, head: str, fits: re.Pattern) -> Iterator[str]:
+        """The rows of the INSERTs that come next, as long as they have this head and fit."""
+        while self.next is not None and (body := _body(self.next, head, fits)) is not None:
+            self.take()
+            yield body
+
+
+def _body(sql: str, head: str, fits: re.Pattern) -> str | None:
+    sql = sql.strip()
+    return sql[len(head) : -1] if sql.startswith(head) and fits.fullmatch(sql, len(head)) else None
+
+
 def restore(connection: Connection, source: TextIO) -> None:
-    """Runs a script statement by statement."""
-    for sql in statements(source):
-        connection.execute(sql)
+    """Runs a script statement by statement. INSERTs of a transaction that follow each other as ``dump`` writes them are one batch, whose literals tasks read."""
+    script = _Script(source)
+    while script.next is not None:
+        m = _HEAD.match(script.next.strip())
+        table = _written(connection, m[1]) if m else None
+        if table is not None:
+            row = _row(table)
+            fits = re.compile(f"{row}(?:, {row})*+;")
+            if _body(script.next, m[0], fits) is not None:
+                _restore_rows(connection, table, row, m[0], script.rows(m[0], fits))
+                continue
+        connection.execute(script.take())
+
+
+def _written(connection: Connection, name: str) -> catalog.Table | None:
+    """The table of a transaction's manifest, if INSERTs into it may be joined: outside of one each would be a commit."""
+    token = tokens(name)[0]
+    if connection.tx is None or token.kind != "name":
+        return None
+    entry = connection.tx.manifest["tables"].get(str(token.value).lower())
+    return None if entry is None else catalog.Table(entry)
+
+
+def _restore_rows(connection: Connection, table: catalog.Table, row: str, head: str, bodies: Iterator[str]) -> None:
+    storage, db, source = connection.db.storage, connection.db, f"__{uuid.uuid4().hex}"
+    spool = storage.spool(bodies)
+    try:
+        each = storage.spooled(spool).select(F.explode(F.regexp_extract_all("value", F.lit(row), F.lit(0))).alias("row"))
+        each = each.select(F.regexp_extract_all("row", F.lit(_ANY_LITERAL), F.lit(0)).alias("literals"))
+        db.register(source, each.select(*(_value(F.col("literals")[i], c["type"]).alias(c["name"]) for i, c in enumerate(table.columns))))
+        listed = ", ".join(map(_quoted, table.names))
+        try:
+            connection.execute(f"INSERT INTO {_quoted(table.name)} ({listed}) SELECT {listed} FROM {_quoted(source)}")
+        except EngineError:  # some statement is refused: those before it count, and its own error is told
+            for body in storage.unspool(spool):
+                connection.execute(f"{head}{body};")
+    finally:
+        db.external.pop(source, None)
+        db.frames.pop(source, None)
+        storage.forget(spool)
 
 
 def save(connection: Connection, path: str) -> Database:

@@ -103,3 +103,38 @@ def test_unknown_types_are_refused(spark):
     with db.connect() as c:
         assert c.query("SELECT k, day::TEXT AS day FROM t").collect()[0]["day"] == "2024-02-03T00:00:00Z"
     db.close()
+
+
+def test_inserts_of_a_dump_are_restored_as_one_batch(spark, monkeypatch):
+    import random
+
+    c = granary.connect(spark)
+    texts = ["", "NULL", "a, b), (1, 'x", "it's", "\\", "\\\\n", "\\'", "tab\there", "line\nend\r", '"q"', "\\x00", " é😀", "x" * 300_000 + "\\" * 5001, "');--"]
+    values = [(i, texts[i % len(texts)], -0.0 if i == 7 else random.Random(i).uniform(-1, 1) * 10 ** (i % 40 - 20), i % 3 == 0 if i % 5 else None, None if i % 7 == 0 else f"19{i % 90 + 10}-02-03T04:05:06.{i:06d}Z", bytes([i % 256, 0]) if i % 4 else b"") for i in range(1300)]
+    db = c.db
+    db.register("given", spark.createDataFrame(values, "k long, s string, d double, b boolean, ts string, y binary"))
+    c.execute('CREATE TABLE t (k BIGINT PRIMARY KEY, s TEXT, d DOUBLE PRECISION, b BOOL, ts TIMESTAMP, y BYTEA); INSERT INTO t (k, s, d, b, ts, y) SELECT k, s, d, b, ts, y FROM given')
+    out = io.StringIO()
+    transfer.dump(c, out)
+    again, written = granary.connect(spark), []
+    stage = granary.session.Transaction.stage
+    monkeypatch.setattr(granary.session.Transaction, "stage", lambda tx, *a: written.append(stage(tx, *a)) or written[-1])
+    transfer.restore(again, io.StringIO(out.getvalue()))
+    assert [p["rows"] for p in written] == [1300]  # three statements of 500 rows at most
+    assert rows(again, 'SELECT * FROM t ORDER BY k') == rows(c, 'SELECT * FROM t ORDER BY k')
+    assert not again.db.external and not again.db.storage._names("spool")
+
+
+def test_restore_stops_at_the_statement_that_is_refused(spark):
+    c = granary.connect(spark)
+    script = "BEGIN;\nCREATE TABLE t (k INT PRIMARY KEY, s TEXT);\nINSERT INTO t VALUES (1, 'a'), (2, NULL);\nINSERT INTO t VALUES (3, 'b'), (4, 'NULL');\nINSERT INTO t VALUES (2, 'c');\nINSERT INTO t VALUES (9, 'd');\nCOMMIT;\n"
+    with pytest.raises(granary.ConstraintViolation):
+        transfer.restore(c, io.StringIO(script))
+    assert rows(c, "SELECT * FROM t ORDER BY k") == [(1, "a"), (2, None), (3, "b"), (4, "NULL")]
+    c.execute("ROLLBACK")
+    with pytest.raises(granary.EngineError):  # a number beyond the type
+        transfer.restore(c, io.StringIO("BEGIN;\nCREATE TABLE t (k INT PRIMARY KEY);\nINSERT INTO t VALUES (7);\nINSERT INTO t VALUES (2999999999);\n"))
+    assert rows(c, "SELECT * FROM t") == [(7,)]
+    c.execute("ROLLBACK")
+    transfer.restore(c, io.StringIO("BEGIN;\nCREATE TABLE t (k INT PRIMARY KEY, s TEXT);\nINSERT INTO t VALUES (1, 'a');\nINSERT INTO t VALUES (1 + 1, 'it\\'s');\nINSERT INTO t VALUES ('3', 4), (4, 'x;y');\nCOMMIT;\n"))
+    assert rows(c, "SELECT * FROM t ORDER BY k") == [(1, "a"), (2, "it's"), (3, "4"), (4, "x;y")]
