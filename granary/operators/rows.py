@@ -15,6 +15,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql import types as T
 
 _MOST = (1 << 31) - 1
+#: Rows of a sort under a limit that a task holds; beyond, the place of a row is found by counting ranges, so many at once.
+FEW, RANGES = 1000, 64
 
 
 def scan(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
@@ -61,9 +63,80 @@ def take(df: DataFrame, n: int) -> DataFrame:
 
 
 def skip(df: DataFrame, n: int) -> DataFrame:
+    """Passes all rows through one task: for a few, as under a limit."""
     return df.offset(min(n, _MOST)) if n > 0 else df
 
 
+def skip_sorted(df: DataFrame, key: Column, n: int, descending: bool = False) -> DataFrame:
+    """The rows of ``df``, in no order, that a sort by ``key`` would put after the first ``n``.
+
+    Runs jobs over the key to find that of row ``n``; what is left is a filter. Only rows
+    that tie with row ``n``, where some are skipped and some are not, go through one task.
+    ``df`` must give the same rows each time.
+    """
+    found = key_at(df.select(key.alias("k")), n, descending)
+    if found is None:
+        return df.limit(0)
+    at, skipped = found
+    if not skipped:
+        return df.filter(_from(key, at, descending))
+    return df.filter(_past(key, at, descending)).union(df.filter(key.eqNullSafe(at)).offset(skipped))
+
+
+def _past(key: Column, at: Column, descending: bool) -> Column:
+    """Whether a key comes after ``at``, NULL for no where that is enough; NULL is smallest."""
+    if descending:
+        return (key < at) | (key.isNull() & at.isNotNull())
+    return (key > at) | (key.isNotNull() & at.isNull())
+
+
+def _from(key: Column, at: Column, descending: bool) -> Column:
+    return _past(key, at, descending) | key.eqNullSafe(at)
+
+
+def key_at(df: DataFrame, n: int, descending: bool = False) -> tuple[Column, int] | None:
+    """The value of the only column in row ``n`` (from 0) of its order, and how many rows before that one have the same; None if there are not as many rows."""
+    (name,), kind = df.columns, df.schema.fields[0].dataType
+    k = F.col(name)
+    order = k.desc_nulls_last() if descending else k.asc_nulls_first()
+    first, last = (F.max, F.min) if descending else (F.min, F.max)
+    ranked = F.struct(k.isNotNull().alias("there"), k.alias("k"))
+    # timestamps go by their text, since Python's have the machine's time zone
+    told = (lambda c: c.cast("string")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else (lambda c: c)
+    known = lambda x: F.lit(bytes(x) if isinstance(x, bytearray) else x).cast(kind)
+    left = df
+    while n >= FEW:
+        parts = left.repartitionByRange(RANGES, order).select(k, F.spark_partition_id().alias("part")).groupBy("part")
+        ends = parts.agg(F.count(F.lit(1)).alias("n"), first(ranked).alias("a"), last(ranked).alias("b"))
+        ranges = sorted(ends.select("part", "n", told(F.col("a.k")).alias("a"), told(F.col("b.k")).alias("b"), F.col("a").eqNullSafe(F.col("b")).alias("one")).collect(), key=lambda r: r["part"])  # RANGES rows
+        before = 0
+        for r in ranges:
+            if n < before + r["n"]:
+                break
+            before += r["n"]
+        else:
+            return None
+        n -= before
+        if r["one"]:
+            return known(r["a"]), n
+        if len(ranges) > 1:
+            left = left.filter(_from(k, known(r["a"]), descending) & ~F.coalesce(_past(k, known(r["b"]), descending), F.lit(False)))
+            continue
+        # one value among few is so frequent that no range ends at it: any row's, most likely this one's, parts the rest
+        at = known(left.select(told(k).alias("k")).orderBy(F.rand()).limit(1).head()["k"])
+        same, past = k.eqNullSafe(at), F.coalesce(_past(k, at, descending), F.lit(False))
+        counts = left.agg(F.count_if(~same & ~past).alias("before"), F.count_if(same).alias("same")).head()
+        if n < counts["before"]:
+            left = left.filter(~same & ~past)
+        elif n < counts["before"] + counts["same"]:
+            return at, n - counts["before"]
+        else:
+            left, n = left.filter(past), n - counts["before"] - counts["same"]
+    counted = left.orderBy(order).limit(n + 1).groupBy(k).agg(F.count(F.lit(1)).alias("n"))
+    r = counted.agg(F.sum("n").alias("all"), last(F.struct(k.isNotNull().alias("there"), k.alias("k"), "n")).alias("at")).select("all", told(F.col("at.k")).alias("k"), F.col("at.n").alias("n")).head()
+    return (known(r["k"]), r["n"] - 1) if r["all"] == n + 1 else None
+
+
 def union(frames: Sequence[DataFrame]) -> DataFrame:
     """Rows of all, each once; of a single one, its distinct rows."""
     return concat(frames).distinct()

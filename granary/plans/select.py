@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -26,6 +27,7 @@ class Context:
     base: Scope  # parameters, time, sequences
     ordinals: Callable[[DataFrame], DataFrame]  # rows numbered in __ordinal, written so that numbers hold
     allocate: Callable[[str, int], Callable[[Column], Column]]  # takes values of a sequence; gives the i-th
+    stored: Callable[[DataFrame], DataFrame]  # rows written, so that they are the same each time
 
 
 @dataclass
@@ -190,19 +192,41 @@ def plan(s: n.Select, ctx: Context) -> Planned:
     out = core(s.cores[0], ctx)
     for how, c in zip(s.unions, s.cores[1:], strict=True):
         out = _combined(out, core(c, ctx), how)
-    frame = out.frame
+    frame, key, descending = out.frame, None, False
     if s.order is not None:
         column, descending = s.order
         if column not in out.sortable:
             raise BindError(f'ORDER BY "{column}": no such column here')
-        frame = rows.sort(frame, out.sortable[column], descending)
-    if s.offset is not None:
-        frame = rows.skip(frame, _number(s.offset, ctx, "OFFSET"))
-    if s.limit is not None:
-        frame = rows.take(frame, _number(s.limit, ctx, "LIMIT"))
+        key = out.sortable[column]
+    skipped = 0 if s.offset is None else _number(s.offset, ctx, "OFFSET")
+    limit = None if s.limit is None else _number(s.limit, ctx, "LIMIT")
+    if skipped > 0 and (limit is None or skipped + limit > rows.FEW):
+        frame, skipped = _skipped(s, frame, key, descending, skipped, ctx), 0
+    if key is not None:
+        frame = rows.sort(frame, key, descending)
+    frame = rows.skip(frame, skipped)
+    if limit is not None:
+        frame = rows.take(frame, limit)
     return Planned(frame.select(*(f"o{i}" for i in range(len(out.names)))), out.names, out.types, {})
 
 
+def _skipped(s: n.Select, frame: DataFrame, key: Column | None, descending: bool, count: int, ctx: Context) -> DataFrame:
+    """Without the first rows of the order, or of the rows as they come."""
+    if key is None or frame.select(key).dtypes[0][1] == "void":
+        place = "__place"
+        return rows.skip_sorted(ctx.stored(frame.withColumn(place, F.monotonically_increasing_id())), F.col(place), count)
+    return rows.skip_sorted(frame if _repeatable(frame) else ctx.stored(frame), key, count, descending)
+
+
+#: A node of a plan that gives the same rows each time if its children do: unlike sums of doubles, whose order counts.
+_SAME = re.compile(r"[\s:+|-]*'?(?:Project|Filter|SubqueryAlias|Relation|LocalRelation|Range|Union|Distinct|Sort|OneRowRelation)\b")
+
+
+def _repeatable(frame: DataFrame) -> bool:
+    analyzed = frame._jdf.queryExecution().analyzed()
+    return analyzed.deterministic() and all(_SAME.match(x) for x in analyzed.treeString().splitlines() if x.strip())
+
+
 def _number(e: n.Expr, ctx: Context, what: str) -> int:
     if aggregates_in(e):
         raise BindError(f"aggregates are not allowed in {what}")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from granary import operators as o
 from granary.operators import keys
+from granary.operators import rows as row_operators
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,43 @@ def test_who_stays(spark):
     assert [r[2] for r in rows(o.first_wins(batch, [["a"]], save))] == [0, 2, 3]
     assert [r[2] for r in rows(o.first_wins(batch, [["a"], ["b"]], save))] == [0, 2, 3]
     assert sorted(r[2] for r in rows(o.last_wins(batch, [["a"], ["b"]]))) == [2, 4]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["long", "double", "string", "boolean", "timestamp_ntz", "binary"])
+def test_skip_sorted_keeps_what_a_sort_puts_last(spark, monkeypatch, kind, descending):
+    monkeypatch.setattr(row_operators, "FEW", 3)
+    monkeypatch.setattr(row_operators, "RANGES", 5)
+    i = F.col("id")
+    made = {"long": i * 7919 % 211, "double": F.when(i % 50 == 0, float("nan")).otherwise((i * 7919 % 211 - 100) / 8), "string": F.concat(F.lit("k"), i * 7919 % 211), "boolean": i % 2 == 0, "timestamp_ntz": F.expr("timestamp_ntz'2021-03-28 02:30:00.000001' + make_interval(0, 0, 0, 0, 0, 0, id * 7919 % 211)"), "binary": F.concat(F.lit("k"), i * 7919 % 211).cast("binary")}[kind]
+    df = spark.range(0, 600, 1, 4).select("id", F.when(i % 17 != 0, made).alias("k"))
+    ordered = [r["k"] for r in o.sort(df, F.col("k"), descending).collect()]
+    for n in (1, 40, 298, 600):
+        kept = row_operators.skip_sorted(df, F.col("k"), n, descending)
+        got = o.sort(kept, F.col("k"), descending).collect()
+        assert [str(r["k"]) for r in got] == [str(x) for x in ordered[n:]]  # a NaN is not equal to itself
+        assert len({r["id"] for r in got}) == len(got)
+
+
+def test_skip_sorted_among_ties(spark, monkeypatch):
+    monkeypatch.setattr(row_operators, "FEW", 3)
+    df = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") == 1, 0).when(F.col("id") == 2999, 2).otherwise(1).alias("k"))
+    for n, counts in ((1, {1: 2998, 2: 1}), (1000, {1: 1999, 2: 1}), (2999, {2: 1}), (3000, {})):
+        assert {r["k"]: r["count"] for r in row_operators.skip_sorted(df, F.col("k"), n).groupBy("k").count().collect()} == counts
+
+
+def test_offset_sends_no_table_through_one_task(spark):
+    import granary
+
+    db = granary.Database(spark)
+    db.register("t", spark.range(0, 5000, 1, 8).select(F.col("id").alias("k"), (F.col("id") % 7 / 10).alias("p")))
+    with db.connect() as c:
+        for sql in ("SELECT k FROM t ORDER BY k OFFSET 100", "SELECT k FROM t ORDER BY k LIMIT 3000 OFFSET 1500", "SELECT k FROM t OFFSET 10"):
+            got = c.query(sql)
+            assert "Offset" not in got._jdf.queryExecution().optimizedPlan().toString()
+            n = len(got.collect())
+            assert n == {"100": 4900, "1500": 3000, "10": 4990}[sql.split()[-1]]
+        assert [r["k"] for r in c.query("SELECT k FROM t ORDER BY k OFFSET 2500").collect()] == list(range(2500, 5000))
+        assert c.query("SELECT k, SUM(p) AS q, COUNT(*) AS n FROM t GROUP BY k ORDER BY k OFFSET 1200").count() == 3800
+        assert c.query("SELECT NULL AS x, random() AS k FROM t ORDER BY k OFFSET 1200").count() == 3800
+    db.close()
